@@ -28,14 +28,15 @@ def _chi2_tail(x: float, df: int) -> float:
         steps = [1.0 + i for i in range(df // 2)]
     for s in steps:
         total += term
-        term *= half / s if df % 2 == 0 else half / (s)
+        term *= half / s
     return min(total, 1.0)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny, c = 1e-300, 1.0
-    d = 1.0 / max(abs(1 - (a + b) * x / (a + 1)), tiny) * math.copysign(1, 1 - (a + b) * x / (a + 1))
+    start = 1 - (a + b) * x / (a + 1)
+    d = 1 / (start if abs(start) > tiny else tiny)
     h = d
     for m in range(1, 500):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),

@@ -29,9 +29,7 @@ def class_share(df: DataFrame, column: str) -> DataFrame:
     """Rows per class and percent of all rows, two decimals."""
     counts = df.groupBy(q(column).alias(column)).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))
-    # One-row side: a scalar, attached without a window over all groups.
-    return counts.join(F.broadcast(total)).select(
-        column, "n", F.round(F.col("n") * 100.0 / F.col("_total"), 2).alias("pct"))
+    return counts.select(column, "n", F.round(F.col("n") * 100.0 / total.scalar(), 2).alias("pct"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
