@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _chi2_tail(x: float, df: int) -> float:
@@ -67,12 +68,12 @@ def _f_tail(f: float, d1: float, d2: float) -> float:
     return _incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_chi2_tail(a, int(b)) for a, b in zip(x, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([_f_tail(a, b, c) for a, b, c in zip(f, d1, d2)])
 
@@ -90,7 +91,7 @@ def _log_cdf(z: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def anderson_term(z: pd.Series, c: pd.Series, before: pd.Series, n: pd.Series) -> pd.Series:
     """Contribution of ``c`` equal values with ``before`` smaller ones among ``n``."""
     zs = z.to_numpy(dtype=float)

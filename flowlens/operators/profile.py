@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.contract import BENIGN
 from flowlens.functions.pvalues import anderson_term, chi2_sf, f_sf
 from flowlens.functions.times import parse_iso
+from flowlens.functions.values import finite
 from flowlens.operators.clean import q, unpivot_row
 from flowlens.operators.ordered import bounded_rows, running_total
 from flowlens.operators.quantiles import exact_percentiles, percentile_values
@@ -162,23 +164,44 @@ def class_profiles(df: DataFrame, features: Sequence[str], label: str, k: int =
         F.max(F.when(F.col("prob") == 0.95, F.col("value"))).alias("p95"))
 
 
-def corr_pairs(df: DataFrame, columns: Sequence[str], chunk: int = 300) -> DataFrame:
+_PAIR_SUMS = "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums for every column pair of one partition, rows with a gap left out pair by pair."""
+    total = None
+    for batch in batches:
+        x = batch.to_numpy(dtype=float)
+        m = np.isfinite(x).astype(float)
+        x = np.where(m > 0, x, 0.0)
+        part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        total = part if total is None else total + part
+    if total is not None:
+        i, j = np.triu_indices(total.shape[1], k=1)
+        yield pd.DataFrame({"a": i, "b": j, **dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), total[:, i, j]))})
+
+
+def corr_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair over rows where both are present.
 
-    Pairs are computed in aggregates of at most ``chunk`` expressions per scan.
+    One scan whatever the number of pairs: tasks reduce Arrow batches to pair
+    sums by matrix products, Spark adds the sums up. Columns are shifted by
+    their mean first, so the sums do not cancel.
     """
-    pairs = list(itertools.combinations(columns, 2))
-    out = None
-    for start in range(0, len(pairs), chunk):
-        part = pairs[start:start + chunk]
-        wide = df.agg(*[F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"c{i}")
-                        for i, (a, b) in enumerate(part)])
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("corr"))
-            for i, (a, b) in enumerate(part)]))
-        rows = wide.select(cells.alias("s")).select("s.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out.filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    columns = list(columns)
+    values = df.select(*[finite(q(c)).alias(str(i)) for i, c in enumerate(columns)])
+    means = values.agg(*[F.avg(str(i)).alias(str(i)) for i in range(len(columns))]).first()
+    shifted = values.select(*[(F.col(str(i)) - F.lit(means[str(i)] or 0.0)).alias(str(i)) for i in range(len(columns))])
+    s = shifted.mapInPandas(_pair_sums, _PAIR_SUMS).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    corr = F.try_divide(cov, F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return s.filter("n > 1").select(F.get(names, "a").alias("feature_a"), F.get(names, "b").alias("feature_b"),
+                                    F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias("corr")
+                                    ).filter("corr is not null")
 
 
 def top_corr_pairs(df: DataFrame, columns: Sequence[str], k: int = 25, min_abs: float | None = None) -> DataFrame:

@@ -49,9 +49,8 @@ def parse_payload(messages: DataFrame, schema: T.StructType, lenient: bool = Fal
     fields = list(schema.fields)
     if lenient:
         schema = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
-    marked = schema.add("_corrupt", T.StringType())
     text = q("value").cast("string")
-    data = F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    data = F.from_json(text, schema)
     # A bad field makes that field NULL; only text that is no JSON object is a failure.
     parsed = messages.withColumn("_data", data).withColumn(
         "parse_failed", ~F.coalesce(F.trim(text).startswith("{") & F.get_json_object(text, "$").isNotNull(),
