@@ -197,7 +197,10 @@ def corr_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    corr = F.try_divide(cov, F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy)))
+    # Below this, "variance" is what rounding leaves of a constant column.
+    noise = F.array(*[F.lit((1e-12 * (means[str(i)] or 0.0)) ** 2) for i in range(len(columns))])
+    varies = (vx > F.col("n") * F.get(noise, "a")) & (vy > F.col("n") * F.get(noise, "b"))
+    corr = F.try_divide(cov, F.sqrt(F.when(varies, vx) * vy))
     names = F.array(*[F.lit(c) for c in columns])
     return s.filter("n > 1").select(F.get(names, "a").alias("feature_a"), F.get(names, "b").alias("feature_b"),
                                     F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias("corr")
