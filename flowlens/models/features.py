@@ -15,6 +15,7 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +51,19 @@ def impute(df: DataFrame, columns: Sequence[str], fill: dict[str, float] | None
 
 
 def scale_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population standard deviation per column; a constant column scales by 1."""
-    row = df.agg(*[F.struct(F.avg(q(c)).alias("m"), F.stddev_pop(q(c)).alias("s")).alias(str(i))
-                   for i, c in enumerate(columns)]).first()
-    return {c: (row[str(i)]["m"] or 0.0, row[str(i)]["s"] or 1.0) for i, c in enumerate(columns)}
+    """Mean and population standard deviation per column; a constant column scales by 1.
+
+    The columns must be complete. They are summarised as one vector, so the
+    cost of the plan does not grow with their number.
+    """
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df).select("_v")
+    stats = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
+    n = stats["count"]
+    if not n:
+        return {c: (0.0, 1.0) for c in columns}
+    # The summary's variance is the sample one.
+    spread = {c: float(np.sqrt(v * (n - 1) / n)) for c, v in zip(columns, stats["variance"])}
+    return {c: (float(m), spread[c] if spread[c] > 1e-12 * abs(m) else 1.0) for c, m in zip(columns, stats["mean"])}
 
 
 def standardize(df: DataFrame, columns: Sequence[str], fitted: dict[str, tuple[float, float]] | None = None) -> DataFrame:

@@ -43,6 +43,11 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
 def percentile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                       budget: int = STATE_BUDGET) -> dict[str, list[float | None]]:
     """Percentiles of the whole table as literals: feature -> one value per probability."""
+    columns, probs = list(columns), list(probs)
+    if df.count() <= max(budget // max(len(columns), 1), 1):
+        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), probs).alias(str(i))
+                       for i, c in enumerate(columns)]).first()
+        return {c: row[str(i)] or [None] * len(probs) for i, c in enumerate(columns)}
     rows = exact_percentiles(df, columns, probs, budget=budget).collect()
     found = {(r["feature"], r["prob"]): r["value"] for r in rows}
     return {c: [found.get((c, p)) for p in probs] for c in columns}
@@ -63,84 +68,91 @@ def _direct(df: DataFrame, columns: list[str], probs: list[float], by: str | Non
 
 def _search(df: DataFrame, columns: list[str], probs: list[float], by: str, keys: list, limit: int,
             fan: int = 64) -> DataFrame:
+    """Bracket the two ranks around each wanted position, in wide aggregates per group.
+
+    A target is one (group, feature, probability). Its range is open: the values
+    searched lie strictly between ``lo`` and ``hi``, ``below`` rows lie at or under ``lo``.
+    """
     key_type = df.schema[by].dataType.simpleString()
-    counts = {r[by]: r for r in df.groupBy(by).agg(*[
-        F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).collect()}
-    wanted, ranks = [], {}
+    slots = [(i, float(p)) for i in range(len(columns)) for p in probs]
+    base = df.select(F.col(by).alias("_g"), *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    counts = {r["_g"]: r for r in base.groupBy("_g").agg(*[
+        F.count(f"_v{i}").alias(f"n{i}") for i in range(len(columns))]).collect()}
+    state: dict[tuple, dict] = {}
     for key in keys:
-        for i, c in enumerate(columns):
+        for slot, (i, p) in enumerate(slots):
             n = counts[key][f"n{i}"]
-            for p in probs:
-                if not n:
-                    continue
-                h = (n - 1) * p
-                wanted.append((key, c, float(p), h))
-                for k in (math.floor(h), math.ceil(h)):
-                    # Open target: the value of rank k lies strictly between lo and hi.
-                    ranks[key, c, k] = {"key": key, "feature": c, "k": k, "lo": float("-inf"),
-                                        "hi": float("inf"), "below": 0, "inside": n, "value": None}
-    targets = list(ranks.values())
+            h = (n - 1) * p if n else 0.0
+            state[key, slot] = {"lo": float("-inf"), "hi": float("inf"), "below": 0, "inside": n, "h": h,
+                                "ranks": (math.floor(h), math.ceil(h)), "found": {}}
+
+    def pending(t: dict) -> list[int]:
+        return [k for k in t["ranks"] if k not in t["found"]] if t["inside"] else []
+
+    def with_ranges(frame: DataFrame) -> DataFrame:
+        rows = [(key, [state[key, j]["lo"] for j in range(len(slots))], [state[key, j]["hi"] for j in range(len(slots))])
+                for key in keys]
+        table = df.sparkSession.createDataFrame(rows, f"_key {key_type}, _lo array<double>, _hi array<double>")
+        # Bounded: one row per group, built on the driver.
+        return frame.join(F.broadcast(table), F.col("_g").eqNullSafe(F.col("_key")))
+
+    def value(slot: int):
+        return F.col(f"_v{slots[slot][0]}"), F.col("_lo")[slot], F.col("_hi")[slot]
+
     grid = [j / fan for j in range(fan + 1)]
-    while open_ := [t for t in targets if t["value"] is None and t["inside"] > limit]:
-        sketches = _per_target(df, open_, by, key_type, [
-            F.percentile_approx("_v", grid, 100 * fan).alias("q")])
-        for t, r in zip(open_, sketches):
+    while open_ := {ks for ks, t in state.items() if t["inside"] > limit and pending(t)}:
+        used = sorted({slot for _, slot in open_})
+        whole = all(state[ks]["lo"] == float("-inf") and state[ks]["hi"] == float("inf") for ks in open_)
+        # While nothing is narrowed yet, all probabilities of a feature share one sketch.
+        leads = {s: next(u for u in used if slots[u][0] == slots[s][0]) if whole else s for s in used}
+        sketches = {}
+        for s in sorted(set(leads.values())):
+            v, lo, hi = value(s)
+            sketches[s] = F.percentile_approx(F.when((v > lo) & (v < hi), v), grid, 100 * fan).alias(f"q{s}")
+        found = {r["_g"]: r for r in with_ranges(base).groupBy("_g").agg(*sketches.values()).collect()}
+        for key, s in open_:
+            t, q = state[key, s], found[key][f"q{leads[s]}"]
             # Sketch ranks are off by at most n/(100*fan): one more grid step on each side covers it.
-            j = math.floor((t["k"] - t["below"]) / t["inside"] * fan)
-            t["lo"], t["hi"] = r["q"][max(j - 1, 0)], r["q"][min(j + 2, fan)]
-        low, high = F.col("_v") == F.col("_lo"), F.col("_v") == F.col("_hi")
-        exact = _per_target(df, open_, by, key_type, [
-            F.count_if(F.col("_v") < F.col("_lo")).alias("below"), F.count_if(low).alias("low"),
-            F.count_if((F.col("_v") > F.col("_lo")) & (F.col("_v") < F.col("_hi"))).alias("inside"),
-            F.count_if(high).alias("high")], whole=True)
-        for t, r in zip(open_, exact):
-            left = t["k"] - r["below"]
-            if 0 <= left < r["low"]:
-                t["value"] = t["lo"]
-            elif r["low"] <= left < r["low"] + r["inside"]:
-                t["below"], t["inside"] = r["below"] + r["low"], r["inside"]
-            elif 0 <= left - r["low"] - r["inside"] < r["high"]:
-                t["value"] = t["hi"]
-            else:
-                raise ArithmeticError("sketch bracket lost the wanted rank")
-    rest = [t for t in targets if t["value"] is None]
-    if rest:
+            steps = [math.floor((k - t["below"]) / t["inside"] * fan) for k in pending(t)]
+            t["lo"], t["hi"] = q[max(min(steps) - 1, 0)], q[min(max(steps) + 2, fan)]
+        exact = []
+        for s in used:
+            v, lo, hi = value(s)
+            exact += [F.count_if(v < lo).alias(f"b{s}"), F.count_if(v == lo).alias(f"l{s}"),
+                      F.count_if((v > lo) & (v < hi)).alias(f"i{s}"), F.count_if(v == hi).alias(f"h{s}")]
+        found = {r["_g"]: r for r in with_ranges(base).groupBy("_g").agg(*exact).collect()}
+        for key, s in open_:
+            t, r = state[key, s], found[key]
+            low, inside, high = r[f"l{s}"], r[f"i{s}"], r[f"h{s}"]
+            for k in pending(t):
+                left = k - r[f"b{s}"]
+                if not 0 <= left < low + inside + high:
+                    raise ArithmeticError("sketch bracket lost the wanted rank")
+                if left < low:
+                    t["found"][k] = t["lo"]
+                elif left >= low + inside:
+                    t["found"][k] = t["hi"]
+            t["below"], t["inside"] = r[f"b{s}"] + low, inside
+    left = [(key, s) for (key, s), t in state.items() if pending(t)]
+    if left:
         # At most ``limit`` rows per target are left; a window over them is bounded.
-        inside = _explode_targets(df, rest, by, key_type, whole=False)
-        order = Window.partitionBy("_id").orderBy("_v")
-        upto = F.sum("c").over(order) + F.col("_below")
-        ranked = inside.groupBy("_id", "_below", "_k", "_v").agg(F.count(F.lit(1)).alias("c"))
-        found = ranked.withColumn("upto", upto).filter(F.col("upto") > F.col("_k")).groupBy("_id").agg(
-            F.min("_v").alias("v"))
-        for r in found.collect():
-            rest[r["_id"]]["value"] = r["v"]
+        cells = []
+        for s in sorted({s for _, s in left}):
+            v, lo, hi = value(s)
+            cells.append(F.when((v > lo) & (v < hi), F.struct(F.lit(s).alias("s"), v.alias("v"))))
+        near = with_ranges(base).select("_g", F.explode(F.array_compact(F.array(*cells))).alias("c"))
+        order = Window.partitionBy("_g", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = near.groupBy("_g", "c.s", "c.v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
+        asks = df.sparkSession.createDataFrame(
+            [(key, s, k, k - state[key, s]["below"]) for key, s in left for k in pending(state[key, s])],
+            f"_key {key_type}, _s int, k long, place long")
+        hits = ranked.join(F.broadcast(asks), F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("_s"))).filter(
+            F.col("upto") > F.col("place")).groupBy("_g", "s", "k").agg(F.min("v").alias("v"))
+        for r in hits.collect():
+            state[r["_g"], r["s"]]["found"][r["k"]] = r["v"]
     rows = []
-    for key, c, p, h in wanted:
-        v1, v2 = ranks[key, c, math.floor(h)]["value"], ranks[key, c, math.ceil(h)]["value"]
-        rows.append((key, c, p, v1 + (v2 - v1) * (h - math.floor(h))))
-    return df.sparkSession.createDataFrame(
-        rows, f"`{by}` {key_type}, feature string, prob double, value double")
-
-
-def _explode_targets(df: DataFrame, targets: list[dict], by: str, key_type: str, whole: bool) -> DataFrame:
-    """One row per value and target: all values of the feature, or only those inside the range."""
-    rows = [(i, t["key"], t["feature"], t["k"], t["lo"], t["hi"], t["below"]) for i, t in enumerate(targets)]
-    table = df.sparkSession.createDataFrame(
-        rows, f"_id int, _key {key_type}, _feature string, _k long, _lo double, _hi double, _below long")
-    features = list(dict.fromkeys(t["feature"] for t in targets))
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").cast("double").alias("v")) for c in features]))
-    long = df.select(F.col(by).alias("_g"), cells.alias("s")).select("_g", "s.f", F.col("s.v").alias("_v"))
-    # Bounded: the table has one row per group, feature and wanted rank, built on the driver.
-    long = long.filter(F.col("_v").isNotNull()).join(
-        F.broadcast(table), F.col("_g").eqNullSafe(F.col("_key")) & (F.col("f") == F.col("_feature")))
-    if not whole:
-        long = long.filter((F.col("_v") > F.col("_lo")) & (F.col("_v") < F.col("_hi")))
-    return long
-
-
-def _per_target(df: DataFrame, targets: list[dict], by: str, key_type: str, aggregates: list,
-                whole: bool = False) -> list:
-    long = _explode_targets(df, targets, by, key_type, whole)
-    rows = {r["_id"]: r for r in long.groupBy("_id").agg(*aggregates).collect()}
-    return [rows[i] for i in range(len(targets))]
+    for (key, s), t in state.items():
+        if t["ranks"][0] in t["found"]:
+            v1, v2 = (t["found"][k] for k in t["ranks"])
+            rows.append((key, columns[slots[s][0]], slots[s][1], v1 + (v2 - v1) * (t["h"] - t["ranks"][0])))
+    return df.sparkSession.createDataFrame(rows, f"`{by}` {key_type}, feature string, prob double, value double")

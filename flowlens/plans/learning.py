@@ -26,7 +26,7 @@ def impute(t: Tables) -> DataFrame:
     return fx.impute(a.dirty(t).select("row_key", "flow_duration"), ["flow_duration"])
 
 
-_Z = ", ".join(f"round(({c} - (SELECT avg({c}) FROM flows)) / (SELECT stddev_pop({c}) FROM flows), 6) AS {c}" for c in VALUES)
+_Z = ", ".join(f"round(({c} - (SELECT avg({c}) FROM flows)) / (SELECT stddev_pop({c}) FROM flows), 6) + 0.0 AS {c}" for c in VALUES)
 
 
 @query("i02_standardize", f"SELECT row_key, {_Z} FROM flows", (a.FLOWS,))
