@@ -203,7 +203,7 @@ def corr_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     corr = F.try_divide(cov, F.sqrt(F.when(varies, vx) * vy))
     names = F.array(*[F.lit(c) for c in columns])
     return s.filter("n > 1").select(F.get(names, "a").alias("feature_a"), F.get(names, "b").alias("feature_b"),
-                                    F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias("corr")
+                                    F.when(F.abs(corr) > 1, F.signum(corr)).otherwise(corr).alias("corr")
                                     ).filter("corr is not null")
 
 

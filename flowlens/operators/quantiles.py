@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.ordered import bounded_rows
+from flowlens.session import spread
 
 # Values a single aggregation state may hold before the bracketing search is used.
-STATE_BUDGET = 5_000_000
+STATE_BUDGET = 2_000_000
 
 
 def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -45,8 +46,8 @@ def percentile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     """Percentiles of the whole table as literals: feature -> one value per probability."""
     columns, probs = list(columns), list(probs)
     if df.count() <= max(budget // max(len(columns), 1), 1):
-        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), probs).alias(str(i))
-                       for i, c in enumerate(columns)]).first()
+        values = spread(df.select(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(columns)]))
+        row = values.agg(*[F.percentile(c, probs).alias(c) for c in values.columns]).first()
         return {c: row[str(i)] or [None] * len(probs) for i, c in enumerate(columns)}
     rows = exact_percentiles(df, columns, probs, budget=budget).collect()
     found = {(r["feature"], r["prob"]): r["value"] for r in rows}
@@ -75,13 +76,17 @@ def _search(df: DataFrame, columns: list[str], probs: list[float], by: str, keys
     """
     key_type = df.schema[by].dataType.simpleString()
     slots = [(i, float(p)) for i in range(len(columns)) for p in probs]
-    base = df.select(F.col(by).alias("_g"), *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    counts = {r["_g"]: r for r in base.groupBy("_g").agg(*[
-        F.count(f"_v{i}").alias(f"n{i}") for i in range(len(columns))]).collect()}
+    base = spread(df.select(F.col(by).alias("_g"), *[
+        F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]))
+    grid = [j / fan for j in range(fan + 1)]
+    # First pass: one sketch per feature serves all its probabilities.
+    first = {r["_g"]: r for r in base.groupBy("_g").agg(
+        *[F.count(f"_v{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[F.percentile_approx(f"_v{i}", grid, 100 * fan).alias(f"q{i}") for i in range(len(columns))]).collect()}
     state: dict[tuple, dict] = {}
     for key in keys:
         for slot, (i, p) in enumerate(slots):
-            n = counts[key][f"n{i}"]
+            n = first[key][f"n{i}"]
             h = (n - 1) * p if n else 0.0
             state[key, slot] = {"lo": float("-inf"), "hi": float("inf"), "below": 0, "inside": n, "h": h,
                                 "ranks": (math.floor(h), math.ceil(h)), "found": {}}
@@ -99,19 +104,19 @@ def _search(df: DataFrame, columns: list[str], probs: list[float], by: str, keys
     def value(slot: int):
         return F.col(f"_v{slots[slot][0]}"), F.col("_lo")[slot], F.col("_hi")[slot]
 
-    grid = [j / fan for j in range(fan + 1)]
     while open_ := {ks for ks, t in state.items() if t["inside"] > limit and pending(t)}:
         used = sorted({slot for _, slot in open_})
-        whole = all(state[ks]["lo"] == float("-inf") and state[ks]["hi"] == float("inf") for ks in open_)
-        # While nothing is narrowed yet, all probabilities of a feature share one sketch.
-        leads = {s: next(u for u in used if slots[u][0] == slots[s][0]) if whole else s for s in used}
-        sketches = {}
-        for s in sorted(set(leads.values())):
-            v, lo, hi = value(s)
-            sketches[s] = F.percentile_approx(F.when((v > lo) & (v < hi), v), grid, 100 * fan).alias(f"q{s}")
-        found = {r["_g"]: r for r in with_ranges(base).groupBy("_g").agg(*sketches.values()).collect()}
-        for key, s in open_:
-            t, q = state[key, s], found[key][f"q{leads[s]}"]
+        sketches = {ks: first[ks[0]][f"q{slots[ks[1]][0]}"] for ks in open_} if first else {}
+        if not first:
+            narrowed = []
+            for s in used:
+                v, lo, hi = value(s)
+                narrowed.append(F.percentile_approx(F.when((v > lo) & (v < hi), v), grid, 100 * fan).alias(f"q{s}"))
+            rows = {r["_g"]: r for r in with_ranges(base).groupBy("_g").agg(*narrowed).collect()}
+            sketches = {ks: rows[ks[0]][f"q{ks[1]}"] for ks in open_}
+        first = {}
+        for ks in open_:
+            t, q = state[ks], sketches[ks]
             # Sketch ranks are off by at most n/(100*fan): one more grid step on each side covers it.
             steps = [math.floor((k - t["below"]) / t["inside"] * fan) for k in pending(t)]
             t["lo"], t["hi"] = q[max(min(steps) - 1, 0)], q[min(max(steps) + 2, fan)]
