@@ -52,9 +52,9 @@ def parse_payload(messages: DataFrame, schema: T.StructType, lenient: bool = Fal
     text = q("value").cast("string")
     data = F.from_json(text, schema)
     # A bad field makes that field NULL; only text that is no JSON object is a failure.
-    parsed = messages.withColumn("_data", data).withColumn(
-        "parse_failed", ~F.coalesce(F.trim(text).startswith("{") & F.get_json_object(text, "$").isNotNull(),
-                                    F.lit(False)))
+    probe = F.from_json(text, "_any string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = messages.withColumn("_data", data).withColumn("parse_failed", ~F.coalesce(
+        F.trim(text).startswith("{") & probe["_corrupt"].isNull(), F.lit(False)))
 
     def value(f: T.StructField) -> Column:
         raw = F.col("_data").getField(f.name)
