@@ -23,6 +23,7 @@ from flowlens.functions.values import finite
 from flowlens.operators.clean import q
 from flowlens.operators.quantiles import percentile_values
 from flowlens.operators.split import sample_n
+from flowlens.session import materialize, reusable
 
 
 def _number(x: float | None) -> str:
@@ -83,9 +84,11 @@ def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: scaled(i, c) for i, c in enumerate(columns)})
 
 
-def scaled_vector_stages(train: DataFrame, columns: Sequence[str], output: str) -> list[Transformer]:
+def scaled_vector_stages(train: DataFrame, columns: Sequence[str], output: str,
+                         fill: dict[str, float] | None = None) -> list[Transformer]:
     """Impute and standardise in one SQL stage, then assemble."""
-    fill = medians(train, columns)
+    train = reusable(train.select(*[q(c) for c in columns]))
+    fill = fill or medians(train, columns)
     fitted = scale_values(impute(train, columns, fill), columns)
     names = {f"{c}__z": f"(coalesce({_finite_sql(c)}, {_number(fill[c])}) - {_number(fitted[c][0])}) / {_number(fitted[c][1])}"
              for c in columns}
@@ -98,9 +101,11 @@ def sign_vector(model: PCAModel) -> list[float]:
     return [float(np.sign(pc[np.argmax(np.abs(pc[:, j])), j]) or 1.0) for j in range(pc.shape[1])]
 
 
-def pca_stages(train: DataFrame, columns: Sequence[str], k: int, output: str = "pca") -> tuple[list[Transformer], PCAModel]:
+def pca_stages(train: DataFrame, columns: Sequence[str], k: int, output: str = "pca",
+               fill: dict[str, float] | None = None) -> tuple[list[Transformer], PCAModel]:
     """Impute, standardise, project; the covariance is one distributed aggregate."""
-    stages = scaled_vector_stages(train, columns, f"{output}_in")
+    train = reusable(train.select(*[q(c) for c in columns]))
+    stages = scaled_vector_stages(train, columns, f"{output}_in", fill)
     scaled = PipelineModel(stages).transform(train).select(f"{output}_in")
     model = PCA(k=k, inputCol=f"{output}_in", outputCol=f"{output}_raw").fit(scaled)
     signs = ElementwiseProduct(scalingVec=Vectors.dense(sign_vector(model)), inputCol=f"{output}_raw", outputCol=output)
@@ -147,7 +152,7 @@ def sample_stability(df: DataFrame, key: str, columns: Sequence[str], sizes: dic
     """Component counts and variance shares for growing samples, with stage times."""
     rows = []
     for name, n in sizes.items():
-        sample = sample_n(df.select(key, *[q(c) for c in columns]), key, n)
+        sample = materialize(sample_n(df.select(key, *[q(c) for c in columns]), key, n))
         t0 = perf_counter()
         stages = scaled_vector_stages(sample, columns, "v")
         t1 = perf_counter()
@@ -160,9 +165,11 @@ def sample_stability(df: DataFrame, key: str, columns: Sequence[str], sizes: dic
               "prepare_s double, pca_s double, total_s double")
 
 
-def raw_space(train: DataFrame, columns: Sequence[str], output: str = "features") -> list[Transformer]:
+def raw_space(train: DataFrame, columns: Sequence[str], output: str = "features",
+              fill: dict[str, float] | None = None) -> list[Transformer]:
     """Imputed columns plus a missing flag for each column that has gaps in training."""
-    fill = medians(train, columns)
+    train = reusable(train.select(*[q(c) for c in columns]))
+    fill = fill or medians(train, columns)
     gaps = train.agg(*[F.max(finite(q(c)).isNull()).alias(str(i)) for i, c in enumerate(columns)]).first()
     names = {f"{c}__x": f"coalesce({_finite_sql(c)}, {_number(fill[c])})" for c in columns}
     names |= {f"{c}__gap": f"CAST(({_finite_sql(c)}) IS NULL AS DOUBLE)" for i, c in enumerate(columns) if gaps[str(i)]}
@@ -177,6 +184,8 @@ def pca_space(train: DataFrame, columns: Sequence[str], k: int, output: str = "f
 def hybrid_space(train: DataFrame, targeted: Sequence[str], pool: Sequence[str], k: int = 25,
                  output: str = "features") -> list[Transformer]:
     """Targeted columns bypass the reduction; the rest goes through ``k`` components."""
-    stages, _ = pca_stages(train, pool, min(k, len(pool)))
-    bypass = raw_space(train, targeted, "targeted")
+    train = reusable(train.select(*[q(c) for c in [*targeted, *pool]]))
+    fill = medians(train, [*targeted, *pool])
+    stages, _ = pca_stages(train, pool, min(k, len(pool)), fill=fill)
+    bypass = raw_space(train, targeted, "targeted", fill)
     return [*stages, *bypass, VectorAssembler(inputCols=["targeted", "pca"], outputCol=output)]

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import materialize
+
 MAX_GROUPS = 10_000
 
 
@@ -97,7 +99,8 @@ def order_cutoffs(df: DataFrame, order: str, bucket: str, quota: Callable[[dict,
     narrow passes: bucket counts, then a rank inside each group's border bucket.
     """
     by = list(by)
-    counts = df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("n"))
+    # Bounded by groups x buckets; written once because sizes and borders both need it.
+    counts = materialize(df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("n")))
     total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
     sizes = {tuple(r[c] for c in by): r["n"] or 0 for r in bounded_rows(total)}
     wanted = {k: max(0, min(quota(dict(zip(by, k)), n), n)) for k, n in sizes.items()}

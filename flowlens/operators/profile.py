@@ -16,7 +16,7 @@ from flowlens.functions.values import finite
 from flowlens.operators.clean import q, unpivot_row
 from flowlens.operators.ordered import bounded_rows, running_total
 from flowlens.operators.quantiles import exact_percentiles, percentile_values
-from flowlens.session import materialize
+from flowlens.session import materialize, spread
 
 INF = float("inf")
 
@@ -245,7 +245,7 @@ def median_gap(df: DataFrame, columns: Sequence[str], label: str, k: int | None
 
 
 def _long(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    wide = df.select(q(label).alias("label"), *[q(c).cast("double").alias(c) for c in features])
+    wide = spread(df.select(q(label).alias("label"), *[q(c).cast("double").alias(c) for c in features]))
     return wide.unpivot(["label"], [q(c) for c in features], "feature", "x").filter(
         F.col("x").isNotNull() & F.col("label").isNotNull())
 

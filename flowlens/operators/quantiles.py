@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.ordered import bounded_rows
-from flowlens.session import spread
+from flowlens.session import reusable, spread
 
 # Values a single aggregation state may hold before the bracketing search is used.
-STATE_BUDGET = 2_000_000
+STATE_BUDGET = 8_000_000
 
 
 def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -76,7 +76,7 @@ def _search(df: DataFrame, columns: list[str], probs: list[float], by: str, keys
     """
     key_type = df.schema[by].dataType.simpleString()
     slots = [(i, float(p)) for i in range(len(columns)) for p in probs]
-    base = spread(df.select(F.col(by).alias("_g"), *[
+    base = reusable(df.select(F.col(by).alias("_g"), *[
         F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]))
     grid = [j / fan for j in range(fan + 1)]
     # First pass: one sketch per feature serves all its probabilities.

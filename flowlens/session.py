@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +47,14 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate that later steps read several times, and cut its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark) + "/rdd")
-    return df.checkpoint(eager=True)
+    """Write an intermediate that later steps read several times, and cut its lineage.
+
+    A Parquet table in the shared folder survives lost executors and still
+    allows column pruning.
+    """
+    path = f"{work_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,3 +65,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
+def reusable(df: DataFrame) -> DataFrame:
+    """For several passes over the same rows: a small input is spread and written once.
+
+    Inputs that already fill the cluster are read again instead, which costs
+    less than writing them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return materialize(df.repartition(cores)) if 2 * df.rdd.getNumPartitions() < cores else df
