@@ -116,7 +116,7 @@ DIRTY = """dirty0 AS (SELECT row_key, flow_no, source_file,
     ELSE '10.0.' || CAST(flow_no % 200 AS VARCHAR) || '.1-172.16.0.9-80' END AS flow_id,
   CASE flow_no % 7 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE '192.168.1.' || CAST(flow_no % 250 AS VARCHAR) END AS src_text,
   CASE flow_no % 9 WHEN 0 THEN 'junk' WHEN 1 THEN NULL WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
-    WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS ts_text
+    WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS ts_text, ts
   FROM flows),
 dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE flow_no % 25 = 0)"""
 

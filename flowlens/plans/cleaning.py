@@ -285,7 +285,7 @@ def synthetic_ip(t: Tables) -> DataFrame:
 
 
 @query("h04_parse_iso", """SELECT row_key, CASE flow_no % 9 WHEN 0 THEN NULL WHEN 1 THEN NULL
-  WHEN 3 THEN ts - INTERVAL 2 HOUR ELSE ts END AS parsed FROM (SELECT d.*, f.ts FROM dirty d JOIN flows f USING (row_key))""", D)
+  WHEN 3 THEN ts - INTERVAL 2 HOUR ELSE ts END AS parsed FROM dirty""", D)
 def parse_iso(t: Tables) -> DataFrame:
     return naive(a.dirty(t).select("row_key", fn.parse_iso(F.col("ts_text")).alias("parsed")), "parsed")
 

@@ -34,8 +34,8 @@ def class_share(t: Tables) -> DataFrame:
 
 
 @query("d03_duplicate_count", """SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum(n) AS BIGINT) AS n_rows
-  FROM (SELECT count(*) AS n FROM dirty GROUP BY ALL)""".replace("SELECT count(*) AS n FROM dirty GROUP BY ALL",
-       "SELECT row_key, flow_no, count(*) AS n FROM dirty GROUP BY row_key, flow_no"), D)
+  FROM (SELECT count(*) AS n FROM dirty GROUP BY row_key, flow_no, source_file, label, flow_duration, flow_bytes_s,
+    total_fwd_packets, flow_id, src_text, ts_text)""", D)
 def duplicate_count(t: Tables) -> DataFrame:
     return profile.duplicate_count(a.dirty(t))
 

@@ -171,7 +171,7 @@ def tail(t: Tables) -> DataFrame:
 
 
 @query("f01_chronological", """SELECT row_key, CASE flow_no % 9 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 3 THEN ts - INTERVAL 2 HOUR
-  ELSE ts END AS parsed FROM (SELECT d.*, f.ts FROM dirty d JOIN flows f USING (row_key)) ORDER BY parsed NULLS LAST""", D)
+  ELSE ts END AS parsed FROM dirty ORDER BY parsed NULLS LAST""", D)
 def chronological(t: Tables) -> DataFrame:
     from flowlens.functions import parse_iso
     rows = a.dirty(t).select("row_key", parse_iso(F.col("ts_text")).alias("parsed"))
