@@ -131,6 +131,28 @@ def order_cutoffs(df: DataFrame, order: str, bucket: str, quota: Callable[[dict,
     return cutoffs
 
 
+def with_cutoff_column(df: DataFrame, order: str, bucket: str, quota: Callable[[Column], Column], by: Sequence[str],
+                       output: str) -> DataFrame:
+    """Flag the first rows of each group when there are too many groups for literals.
+
+    ``quota`` maps the group's row count to the wanted rows. Joining and ranking by
+    group and bucket keeps a hot group spread over its buckets.
+    """
+    by = list(by)
+    counts = materialize(df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n")))
+    whole, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(bucket).rowsBetween(
+        Window.unboundedPreceding, -1)
+    names = {c: f"_k{i}" for i, c in enumerate([*by, bucket])}
+    marks = counts.select(*[F.col(c).alias(n) for c, n in names.items()], "_n",
+                          quota(F.sum("_n").over(whole)).alias("_quota"),
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = df.join(marks, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    place = F.row_number().over(Window.partitionBy(*names.values()).orderBy(order))
+    taken = F.when(F.col("_before") + F.col("_n") <= F.col("_quota"), True).when(
+        F.col("_before") >= F.col("_quota"), False).otherwise(F.col("_before") + place <= F.col("_quota"))
+    return joined.withColumn(output, taken).drop(*names.values(), "_n", "_quota", "_before")
+
+
 def within_cutoffs(cutoffs: dict[tuple, str | None], order: str, by: Sequence[str] = ()) -> Column:
     """Predicate: the row is among the first of its group. Bounded by MAX_GROUPS literals."""
     by = list(by)

@@ -256,12 +256,14 @@ def levene(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     Groups that are empty, all zero or without variance are left out; at least
     two must remain.
     """
-    medians = exact_percentiles(df.filter(q(label).isNotNull()), features, [0.5], by=label).select(
-        q(label).alias("label"), "feature", F.col("value").alias("med"))
-    # Bounded: one row per class and feature.
-    spread = _long(df, features, label).join(F.broadcast(medians), ["label", "feature"]).withColumn(
+    medians = bounded_rows(exact_percentiles(df.filter(q(label).isNotNull()), features, [0.5], by=label))
+    table = df.sparkSession.createDataFrame(
+        [(r[label], r["feature"], r["value"]) for r in medians],
+        f"label {df.schema[label].dataType.simpleString()}, feature string, med double")
+    # Bounded: one row per class and feature, checked above.
+    centred = _long(df, features, label).join(F.broadcast(table), ["label", "feature"]).withColumn(
         "z", F.abs(F.col("x") - F.col("med")))
-    groups = spread.groupBy("feature", "label").agg(
+    groups = centred.groupBy("feature", "label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("z").alias("zm"), F.var_pop("z").alias("zv"),
         F.var_pop("x").alias("xv"), F.max(F.abs("x")).alias("xmax"))
     kept = groups.filter((F.col("xv") > 0) & (F.col("xmax") > 0))

@@ -11,7 +11,7 @@ from flowlens.contract import BENIGN
 from flowlens.functions.values import hash_order
 from flowlens.operators.clean import q
 from flowlens.operators.ordered import (
-    bin_count, bin_of, bounded_rows, first_rows, order_cutoffs, range_splits, within_cutoffs)
+    bin_count, bin_of, bounded_rows, first_rows, order_cutoffs, range_splits, with_cutoff_column, within_cutoffs)
 
 
 def with_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -38,19 +38,26 @@ def half_even_share(n: int, ratio: float) -> int:
 
 
 def grouped_split(df: DataFrame, key: str, by: Sequence[str], ratio: float = 0.2, seed: int = 42,
-                  dedup_before_split: bool = True) -> DataFrame:
+                  dedup_before_split: bool = True, max_groups: int = 2_000) -> DataFrame:
     """Add ``split`` = train/validation, stratified by the ``by`` columns in hash order.
 
     ``key`` identifies a row. With ``dedup_before_split`` rows that agree in
     everything but the key count once, so copies cannot sit on both sides.
+    Up to ``max_groups`` groups the cut points are literals and no row is shuffled.
     """
     if dedup_before_split:
         rest = [c for c in df.columns if c != key]
         df = df.groupBy(*[q(c) for c in rest]).agg(F.min(q(key)).alias(key)).select(*[q(c) for c in df.columns])
     ordered = with_hash_order(df, key, seed)
-    cut = order_cutoffs(ordered, "_order", "_bucket", lambda _k, n: half_even_share(n, ratio), by)
-    side = F.when(within_cutoffs(cut, "_order", by), "validation").otherwise("train")
-    return _plain(ordered.withColumn("split", side))
+    if df.select(*by).distinct().limit(max_groups + 1).count() <= max_groups:
+        cut = order_cutoffs(ordered, "_order", "_bucket", lambda _k, n: half_even_share(n, ratio), by)
+        flagged = ordered.withColumn("_held", within_cutoffs(cut, "_order", by))
+    else:
+        share = lambda n: F.when(n <= 1, 0).otherwise(
+            F.greatest(F.lit(1), F.least(F.bround(n * F.lit(float(ratio))).cast("long"), n - 1)))
+        flagged = with_cutoff_column(ordered, "_order", "_bucket", share, by, "_held")
+    side = F.when(F.col("_held"), "validation").otherwise("train")
+    return _plain(flagged.withColumn("split", side).drop("_held"))
 
 
 def random_split(df: DataFrame, key: str, test_ratio: float, seed: int = 42) -> DataFrame:

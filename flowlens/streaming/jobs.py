@@ -128,7 +128,9 @@ def upsert_campaigns(campaigns: DataFrame, path: str, checkpoint: str, every: st
     Counts only grow, so the largest one is the newest and replays are harmless.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.persist()  # read twice below; without it the stateful plan would run twice
         upsert(batch, path, "campaign_id", "aggregated_events", "timestamp_start")
+        batch.unpersist()
 
     return _start(campaigns.writeStream.foreachBatch(write).outputMode("update"), checkpoint, every)
 

@@ -70,8 +70,10 @@ def test_grouped_split_sizes(spark):
     out = split.grouped_split(df, "key", ["g"], dedup_before_split=False)
     held = {r["g"]: r["count"] for r in out.filter("split = 'validation'").groupBy("g").count().collect()}
     assert held == {"two": 1, "big": 201} and out.count() == 1006
-    again = split.grouped_split(df.repartition(5), "key", ["g"], dedup_before_split=False)
-    assert set(map(tuple, out.collect())) == set(map(tuple, again.collect()))
+    for other in (split.grouped_split(df.repartition(5), "key", ["g"], dedup_before_split=False),
+                  split.grouped_split(df, "key", ["g"], dedup_before_split=False, max_groups=1)):
+        assert other.columns == out.columns
+        assert set(map(tuple, out.collect())) == set(map(tuple, other.collect()))
 
 
 def test_split_never_separates_copies(spark):
