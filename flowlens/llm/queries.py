@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlens.llm import mixing, sharding
+from flowlens.llm import lines, mixing, secrets, sharding
 from flowlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,54 @@ def op4(table) -> DataFrame:
 @query("op7_mixing")
 def op7(table) -> DataFrame:
     return mixing.mix(table("documents"))
+
+
+SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+%s),
+n AS (SELECT doc_id, text, place, kind, least, hits, groups, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT doc_id, text, place, kind, length(hits[i]) AS n, length(groups[i]) AS g, least, length(hits[i]) + length(gaps[i]) AS step, i FROM n),
+q AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, text, place ORDER BY i) AS stop FROM p),
+s AS (SELECT doc_id, text, place, kind, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM q WHERE g >= least),
+t AS (SELECT doc_id, text, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS b, count(*) FILTER (place = 2) AS c,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans FROM s GROUP BY doc_id, text)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (doc_id, text)"""
+
+
+def _rule_sql(place: int, pattern: str, group: int, kind: str, least: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return (f"SELECT doc_id, text, {place} AS place, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, {p}) AS hits, "
+            f"regexp_extract_all(text, {p}, {group}) AS groups, regexp_split_to_array(text, {p}) AS gaps FROM d")
+
+
+@query("op2_secrets", SECRETS_SQL % " UNION ALL ".join(
+    _rule_sql(n, "[0-9a-f]+" if r.kind == "hex" else r.pattern, r.group, r.kind, r.least)
+    for n, r in enumerate(secrets.BASE + secrets.MORE)))
+def op2(table) -> DataFrame:
+    return secrets.report(table("documents"))
+
+
+LINES_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS all_lines FROM documents),
+l AS (SELECT doc_id, text, unnest(range(len(all_lines))) AS i, unnest(all_lines) AS line FROM d),
+b AS (SELECT doc_id, text, i, trim(line, ' ') AS t, row_number() OVER (PARTITION BY doc_id, text ORDER BY i) - 1 AS k
+  FROM l WHERE trim(line, ' ') <> ''),
+w AS (SELECT doc_id, text, k, t || chr(10) || lead(t, 1) OVER z || chr(10) || lead(t, 2) OVER z AS h FROM b WINDOW z AS (PARTITION BY doc_id, text ORDER BY k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, k) AS nth, count(*) OVER (PARTITION BY h) AS times
+  FROM w WHERE h IS NOT NULL),
+c AS (SELECT doc_id, text, k + j AS k, bool_or(nth = 1) AS kept FROM o, (VALUES (0), (1), (2)) v(j) WHERE times > 1 GROUP BY ALL),
+g AS (SELECT b.doc_id, b.text, b.i FROM b JOIN c USING (doc_id, text, k) WHERE NOT kept),
+r AS (SELECT l.doc_id, l.text, string_agg(line, chr(10) ORDER BY l.i) AS clean FROM l LEFT JOIN g USING (doc_id, text, i) WHERE g.i IS NULL GROUP BY 1, 2),
+x AS (SELECT doc_id, text, count(*) AS gone FROM g GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(len(all_lines), 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(clean, '') END) AS clean_sha256
+FROM d LEFT JOIN r USING (doc_id, text) LEFT JOIN x USING (doc_id, text)"""
+
+
+@query("op5_lines", LINES_SQL)
+def op5(table) -> DataFrame:
+    return lines.dedup_lines(table("documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("clean_sha256"))
