@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import lines, mixing, secrets, sharding
+from flowlens.llm import lines, mixing, near, secrets, sharding
 from flowlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ FROM d LEFT JOIN r USING (doc_id, text) LEFT JOIN x USING (doc_id, text)"""
 @query("op5_lines", LINES_SQL)
 def op5(table) -> DataFrame:
     return lines.dedup_lines(table("documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("clean_sha256"))
+
+
+@query("op10_near")
+def op10(table) -> DataFrame:
+    return near.near_duplicates(table("documents"), shingle=3, percent=85)
