@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import lines, mixing, near, secrets, sharding
-from flowlens.session import prepare
+from flowlens.llm import lines, mixing, near, rollup, secrets, sharding, toxicity
+from flowlens.llm.common import text_key
+from flowlens.session import materialize, prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +90,27 @@ def op5(table) -> DataFrame:
 @query("op10_near")
 def op10(table) -> DataFrame:
     return near.near_duplicates(table("documents"), shingle=3, percent=85)
+
+
+@query("op9_toxicity")
+def op9(table) -> DataFrame:
+    return toxicity.score(table("documents"), toxicity.learn(table("documents"), table("labels")))
+
+
+@query("op3_tokens")
+def op3(table) -> DataFrame:
+    """Three batches and a repeated one: all documents in, later copies out, English recounted with an end mark."""
+    docs = table("documents")
+    counted = materialize(docs.select("doc_id", "source", "lang", text_key(F.col("text")).alias("key"),
+                                      rollup.counter()("text").alias("tokens")))
+    first = counted.groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "key").where("doc_id <> first").select("source", "lang", "tokens")
+    english = counted.join(first, "key").where("doc_id = first and lang = 'en'").select("source", "lang", "tokens")
+    totals = rollup.Rollup(docs.sparkSession, f"{work_dir(docs.sparkSession)}/rollup/{uuid.uuid4().hex}")
+    version = lambda df, name, sign: df.withColumn("version", F.lit(name)).withColumn("sign", F.lit(sign))
+    totals.commit("load", version(counted.select("source", "lang", "tokens"), "byte_bpe_50k", 1))
+    totals.commit("copies", version(copies, "byte_bpe_50k", -1))
+    totals.commit("recount", version(english, "byte_bpe_50k", -1).unionByName(
+        version(english.withColumn("tokens", F.col("tokens") + 1), "byte_bpe_50k+end", 1)))
+    totals.commit("copies", version(copies, "byte_bpe_50k", -1))
+    return totals.totals()
