@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import lines, mixing, near, rollup, secrets, sharding, toxicity
+from flowlens.llm import lattice, lines, mixing, near, rollup, secrets, sharding, toxicity
 from flowlens.llm.common import text_key
 from flowlens.session import materialize, prepare, work_dir
 
@@ -114,3 +114,8 @@ def op3(table) -> DataFrame:
         version(english.withColumn("tokens", F.col("tokens") + 1), "byte_bpe_50k+end", 1)))
     totals.commit("copies", version(copies, "byte_bpe_50k", -1))
     return totals.totals()
+
+
+@query("op8_vectors")
+def op8(table) -> DataFrame:
+    return lattice.near_vectors(table("embeddings"))
