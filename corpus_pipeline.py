@@ -1,8 +1,72 @@
-"""The corpus pipeline; stages follow as their operators land."""
+"""A corpus from raw documents: toxicity, near duplicates, benchmark passages, mixing, sharding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept
+and returns a DataFrame; all but the last return the columns of documents.
+Filters drop whole documents. Rows with a NULL doc_id are never duplicates or
+contaminated; NULL and empty texts pass the filters, and the mix, which counts
+words, takes none of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowlens.llm import decontaminate, mixing, near, sharding, toxicity
+from flowlens.session import materialize, prepare
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the folder's labels, does not call toxic."""
+    model = toxicity.learn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(model)(docs["text"]) < 0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id. Rows that repeat a doc_id: one of them, the least text."""
+    prepare(spark)
+    found = near.near_duplicates(docs)
+    dropped = materialize(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone")).distinct())
+    repeated = docs.groupBy(F.col("doc_id").alias("again")).count().where("again is not null and count > 1").select("again")
+    left = docs.join(dropped, docs["doc_id"] == dropped["gone"], "left_anti")
+    least = left.join(repeated, left["doc_id"] == repeated["again"], "left_semi").groupBy("doc_id") \
+        .agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row")) \
+        .select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+    return left.join(repeated, left["doc_id"] == repeated["again"], "left_anti").unionByName(least)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark"))
+    held = found.where("doc_id is not null").select(F.col("doc_id").alias("held")).distinct()
+    return docs.join(held, docs["doc_id"] == held["held"], "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, so a document that is taken twice is two rows."""
+    prepare(spark)
+    return mixing.repeated(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its slot and shard."""
+    prepare(spark)
+    return sharding.place(docs)
+
+
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("benchmark", benchmark_free), ("mixing", mixed), ("sharding", sharded)]
+
+#: No SQL has the lexicon of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written as Parquet and read again for the next."""
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import lattice, lines, mixing, near, rollup, secrets, sharding, toxicity
+from flowlens.llm import chat, decontaminate, lattice, lines, mixing, near, rollup, secrets, sharding, toxicity
 from flowlens.llm.common import text_key
 from flowlens.session import materialize, prepare, work_dir
 
@@ -119,3 +119,60 @@ def op3(table) -> DataFrame:
 @query("op8_vectors")
 def op8(table) -> DataFrame:
     return lattice.near_vectors(table("embeddings"))
+
+
+BENCHMARK_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+b AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS run FROM i WHERE len(w) > 0),
+s AS (SELECT item_id, w AS words, n, run, a AS place, array_to_string(w[a + 1:a + run], ' ') AS h FROM (SELECT *, unnest(range(n - run + 1)) AS a FROM b)),
+total AS (SELECT count(DISTINCT words) AS t FROM s),
+f AS (SELECT run, h, round(1000 * ln(1 + (SELECT t FROM total) / count(DISTINCT words)))::BIGINT AS weight FROM s GROUP BY run, h),
+d AS (SELECT DISTINCT text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT DISTINCT run FROM s),
+p AS (SELECT text, len(w) AS long, run, pos, array_to_string(w[pos + 1:pos + run], ' ') AS h
+  FROM (SELECT text, w, run, unnest(range(len(w) - run + 1)) AS pos FROM d, r)),
+o AS (SELECT DISTINCT text, p.run, n, greatest(least(pos - place, long - n), 0) AS start FROM p JOIN s USING (run, h)),
+c AS (SELECT DISTINCT o.text, o.run, o.n, o.start, p.h FROM o JOIN p ON o.text = p.text AND o.run = p.run
+  AND p.pos BETWEEN o.start AND o.start + o.n - o.run),
+cw AS (SELECT c.*, coalesce(weight, round(1000 * ln(1 + (SELECT t FROM total)))::BIGINT) AS weight FROM c LEFT JOIN f USING (run, h)),
+ct AS (SELECT text, run, n, start, sum(weight) AS total FROM cw GROUP BY ALL),
+one AS (SELECT DISTINCT item_id, n, run, h FROM s),
+st AS (SELECT item_id, n, run, sum(weight) AS total FROM one JOIN f USING (run, h) GROUP BY ALL),
+x AS (SELECT cw.text, cw.run, cw.n, cw.start, item_id, sum(weight) AS both_weight FROM cw JOIN one USING (n, run, h) GROUP BY ALL),
+y AS (SELECT x.*, ct.total + st.total - both_weight AS either FROM x JOIN ct USING (text, run, n, start) JOIN st USING (item_id, n, run)),
+z AS (SELECT *, row_number() OVER (PARTITION BY text, item_id ORDER BY round(both_weight / either, 9) DESC, start) AS nth
+  FROM y WHERE both_weight * 100 >= either * 80)
+SELECT doc_id, item_id, start, n AS n_words, round(both_weight / either, 9) AS similarity FROM documents JOIN z USING (text) WHERE nth = 1"""
+
+
+@query("op6_benchmark", BENCHMARK_SQL)
+def op6(table) -> DataFrame:
+    return decontaminate.find_benchmark(table("documents"), table("benchmark")).drop("distance")
+
+
+CHAT_SQL = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, text, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS words,
+  CASE WHEN turn >= 2 THEN turn // 2 END AS after FROM m WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS asked, turn, text FROM m WHERE role = 'assistant'),
+l(conv_id, turn, level) AS (SELECT c.conv_id, c.turn, 0 FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.after WHERE p.turn IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.after = l.turn),
+x AS (SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.asked) AS called, c.turn AS call_turn, a.turn AS result_turn, l.level,
+  c.text AS query, words, c.after, a.text AS answer,
+  CASE WHEN words > 60 THEN 'words: too large' END AS big,
+  CASE WHEN c.after IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.after)
+    THEN c.conv_id || ':' || c.after || ': no such call' END AS lost
+  FROM c FULL JOIN a ON c.conv_id = a.conv_id AND c.turn = a.asked LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn),
+y AS (SELECT *, concat_ws(',', big, lost) AS errors, CASE WHEN call_turn IS NULL THEN 'orphan' WHEN big IS NOT NULL OR lost IS NOT NULL THEN 'invalid'
+  WHEN result_turn IS NULL THEN 'open' ELSE 'ok' END AS status FROM x)
+SELECT conv_id AS conv, conv_id || ':' || called AS id, level, call_turn, result_turn, status, errors,
+  '{"arguments":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '{' || CASE WHEN after IS NULL THEN '' ELSE '"after":"${' || conv_id || ':' || after || '}",' END
+    || '"query":' || to_json(query) || ',"words":' || words || '}' END
+  || ',"conversation":' || conv_id || ',"id":"' || conv_id || ':' || called || '","level":' || coalesce(level::VARCHAR, 'null')
+  || ',"name":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '"answer"' END || ',"result":' || coalesce(to_json(answer), 'null')
+  || ',"status":"' || status || '"}' AS json FROM y"""
+
+
+@query("op1_chat", CHAT_SQL)
+def op1(table) -> DataFrame:
+    return chat.link(*chat.from_dialogue(table("conversations")), chat.DIALOGUE)

@@ -34,9 +34,9 @@ MORE = (
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, key) of the given trigrams over (key, text); only trigrams that some rule asks for are posted."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return docs.select("key", F.explode(held).alias("trigram"))
+    low = docs.select("key", F.explode(F.array(F.lower("text"))).alias("low"))  # a generated column is computed once
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
+    return low.select("key", F.explode(held).alias("trigram"))
 
 
 def candidates(postings: DataFrame, asks: dict[str, list[frozenset[str]]]) -> DataFrame:
