@@ -176,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     same cuts. The line is fitted on at most ``sample`` rows of each class,
     taken in the order of an id hash.
 
-    Rows with a NULL text or label, or no label, teach nothing; of several
+    Labels may grow with the corpus, so the texts meet them in a sort-merge
+    join at every size. Rows with a NULL text or label, or no label, teach nothing; of several
     labels of one id the highest counts. Without both classes the lexicon is
     empty and the line constant.
     """
@@ -184,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg((F.max(toxic_col) > 0).cast("int").alias("toxic")).where(~held_out(F.col("id")))
     folded = F.pandas_udf(lambda s: s.map(fold), "string")
     rows = materialize(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-                       .join(marks, "id").select("id", "toxic", folded("text").alias("text")))
+                       .join(marks.hint("merge"), "id").select("id", "toxic", folded("text").alias("text")))
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
