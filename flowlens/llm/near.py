@@ -58,12 +58,14 @@ def _shared(percent: int, k: int) -> tuple[float, float]:
 
 
 def _prefixes(sketches: DataFrame, percent: int, k: int) -> DataFrame:
-    """Inverted lists (value, id, n): of each sketch only the values that a link must touch.
+    """Inverted lists (value, id, n, core): of each sketch only the values that a link must touch.
 
     Two sketches that share s values both hold one of them among their first
     |sketch| - s + 1, in any order that is the same for all. Ordered by how
     many sketches hold a value, the common values of widespread passages come
-    last and mostly stay out. Values of one sketch alone make no pair.
+    last and mostly stay out. Values of one sketch alone make no pair. ``core``
+    is the mean number of sketches that hold the class's values: high for the
+    text that others were copied from.
     """
     small, large = _shared(percent, k)
     values = sketches.select("id", "n", F.explode("sketch").alias("value"))
@@ -74,7 +76,24 @@ def _prefixes(sketches: DataFrame, percent: int, k: int) -> DataFrame:
     share = F.when(F.col("n") <= k, F.lit(small)).otherwise(F.lit(large))
     alone = length - F.size("c")
     keep = F.greatest(length - F.ceil(length * share - 1e-9) + 1 - alone, F.lit(0)).cast("int")
-    return common.select("id", "n", F.explode(F.slice("c", F.lit(1), keep)).alias("x")).select("x.value", "id", "n")
+    core = F.aggregate("c", F.lit(0).cast("bigint"), lambda total, x: total + x["df"]) / length
+    lists = common.select("id", "n", core.alias("core"), F.explode(F.slice("c", F.lit(1), keep)).alias("x")).select("x.value", "id", "n", "core")
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return lists.join(sizes, "value")
+
+
+def _to_hubs(lists: DataFrame, percent: int, turn: int, about: int = 4) -> DataFrame:
+    """Pairs (a, b) of each class with a hub, the one with the highest core, where they are in different components.
+
+    In turn 0 a list has one hub; in later turns it falls into random groups
+    of about four, each with its own.
+    """
+    group = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("id", "value", F.lit(turn)), F.ceil(F.col("size") / about)).cast("int")
+    dealt = lists.withColumn("group", group)
+    hubs = dealt.groupBy("value", "group").agg(F.max(F.struct("core", (-F.col("id")).alias("name"), "n", "c")).alias("hub"))
+    met = dealt.join(hubs, ["value", "group"]).where(
+        (F.col("c") != F.col("hub.c")) & _close(F.col("n"), F.col("hub.n"), percent)).withColumn("name", -F.col("hub.name"))
+    return met.select(F.least("id", "name").alias("a"), F.greatest("id", "name").alias("b")).distinct()
 
 
 def _close(a: Column, b: Column, percent: int) -> Column:
@@ -82,6 +101,31 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _full_lists(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Lists like `_prefixes`, over the full sets of some classes (id, n, c): no allowance for sampling is needed.
+
+    The rarest part of a set, 1 - t of its shingles, is mostly its own even in
+    a large group of copies of one text that differ too much to be links.
+    """
+    values = classes.join(sets, "id").select("id", "n", "c", F.explode("all").alias("value"))
+    held = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = values.join(held, "value").groupBy("id").agg(
+        F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    alone = F.col("n") - F.size("v")
+    keep = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(percent / 100) - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    lists = common.select("id", "n", "c", F.explode(F.slice("v", F.lit(1), keep)).alias("x")).select("x.value", "id", "n", "c")
+    main = lists.groupBy("value").agg(F.max("c").alias("main"))
+    return lists.join(main, "value").withColumn("out", F.col("c") != F.col("main"))
+
+
+def _across(grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a list: each class outside the main one with all others."""
+    outside = grouped.where("out").select("value", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+    return outside.join(grouped, "value").where(
+        (F.col("ac") != F.col("c")) & (~F.col("out") | (F.col("a") < F.col("id"))) & _close(F.col("an"), F.col("n"), percent)) \
+        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """Pairs (a, b) that are links: the union sketch filters, the full sets decide."""
     _, large = _shared(percent, k)
@@ -98,7 +142,7 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-                    k: int = 64) -> DataFrame:
+                    k: int = 64, turns: int = 2, crowd: int = 16) -> DataFrame:
     """Groups of documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
 
     One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the
@@ -112,13 +156,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        sketch, the ``k`` smallest values of the set. Texts with equal word
        sequences are one class, named by its smallest id; only classes go on.
     2. Inverted lists of sketch values (`_prefixes`) bring classes together.
-    3. Each class of a list meets the list's hub, its smallest class. Pairs
-       pass the size proportion, the union sketch's estimate and the exact
-       Jaccard similarity of the full sets; links form components.
-    4. Only classes outside their hub's component are then compared with all
-       others of the list, across components. So a large group of near copies
-       costs one comparison for each member, and no link between different
-       components is missed.
+    3. For some ``turns`` each class of a list meets one hub (`_to_hubs`).
+       Pairs pass the size proportion, the union sketch's estimate and the
+       exact Jaccard similarity of the full sets; links form components.
+    4. Only classes outside a list's main component are then compared with all
+       others of the list, across components. Classes of lists longer than
+       ``crowd`` do so by lists over their full sets (`_full_lists`), which is
+       as complete and proposes far fewer pairs. So a large group of near
+       copies costs a few comparisons for each member, and no link between
+       different components is missed.
 
     NULL or empty texts have no shingles and link with nothing; so do rows
     with a NULL id, which get a NULL component and are not kept. Rows that
@@ -133,25 +179,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = usable.groupBy("key").agg(F.min("doc_id").alias("id"))
     sketches = materialize(usable.join(classes, "key").where("doc_id = id").select("id", "n", "sketch").dropDuplicates(["id", "sketch"]))
     lists = materialize(_prefixes(sketches, percent, k))
-    hubs = lists.groupBy("value").agg(F.min(F.struct("n", "id")).alias("hub"), F.count(F.lit(1)).alias("size")) \
-        .where("size > 1").select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    meets = lists.join(hubs, "value")
-    suspects = meets.select("id").distinct()
+    suspects = lists.select("id").distinct()
     sets = materialize(base.join(suspects, base["doc_id"] == suspects["id"], "left_semi").dropDuplicates(["doc_id"])
                        .mapInArrow(_sets(shingle), "id long, all array<long>"))
-    first = meets.where((F.col("id") != F.col("hub")) & _close(F.col("n"), F.col("hub_n"), percent)) \
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = materialize(_confirmed(first, sketches, sets, percent, k))
-    found = components(links)
-    of = lambda name, to: found.select(F.col("node").alias(name), F.col("component").alias(to))
-    grouped = materialize(meets.join(of("id", "c"), "id", "left").join(of("hub", "hc"), "hub", "left").select(
-        "value", "id", "n", F.coalesce("c", "id").alias("c"), (F.coalesce("c", "id") != F.coalesce("hc", "hub")).alias("out")))
-    outside = grouped.where("out").select("value", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    second = outside.join(grouped, "value").where(
-        (F.col("ac") != F.col("c")) & (~F.col("out") | (F.col("a") < F.col("id"))) & _close(F.col("an"), F.col("n"), percent)) \
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(materialize(_confirmed(second, sketches, sets, percent, k)))
-    found = components(links)
+
+    def with_components(found: DataFrame) -> DataFrame:
+        return lists.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left") \
+            .withColumn("c", F.coalesce("c", "id"))
+
+    grouped, links = lists.withColumn("c", F.col("id")), None
+    for turn in range(turns):
+        more = materialize(_confirmed(_to_hubs(grouped, percent, turn), sketches, sets, percent, k))
+        links = more if links is None else links.unionByName(more)
+        found = components(links)
+        grouped = materialize(with_components(found))
+    # the component that most classes of a list are in
+    main = grouped.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "c")).alias("x")) \
+        .select("value", F.col("x.c").alias("main"))
+    grouped = grouped.join(main, "value").withColumn("out", F.col("c") != F.col("main"))
+    crowded = materialize(grouped.where(F.col("size") > crowd).groupBy("value").agg(F.max("out").alias("any")).where("any")
+                          .select("value").join(grouped, "value").select("id", "n", "c").distinct())
+    last = _across(grouped.where(F.col("size") <= crowd), percent) \
+        .unionByName(_across(_full_lists(crowded, sets, percent), percent)).distinct()
+    found = components(links.unionByName(materialize(_confirmed(last, sketches, sets, percent, k))))
     named = classes.join(found, classes["id"] == found["node"], "left") \
         .select("key", F.coalesce("component", "id").alias("component"))
     return rows.select("doc_id", "n", "key").join(named, "key", "left").select(
