@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links.unionByName(materialize(_confirmed(last, sketches, sets, percent, k))))
     named = classes.join(found, classes["id"] == found["node"], "left") \
         .select("key", F.coalesce("component", "id").alias("component"))
-    return rows.select("doc_id", "n", "key").join(named, "key", "left").select(
+    return rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept"))
