@@ -121,12 +121,13 @@ def threshold_sweep(df: DataFrame, y: str, p: str, thresholds: Sequence[float])
     """Precision, recall and F1 for every threshold from one aggregate over the rows.
 
     A row is counted in the bin of the largest threshold it reaches; the totals
-    per threshold are sums over the bins from the top.
+    per threshold are sums over the bins from the top. Rows whose score is NULL
+    or NaN are never flagged, but their positives count as missed.
     """
     points = sorted(set(thresholds))
-    work = df.select(q(y).alias("_y"), q(p).cast("double").alias("_p"))
-    bins = work.withColumn("_bin", bin_of("_p", points)).groupBy("_bin").agg(
-        F.count_if(F.col("_y") == 1).alias("tp"), F.count("_p").alias("flagged"),
+    work = df.select(q(y).alias("_y"), F.nullif(q(p).cast("double"), F.lit(float("nan"))).alias("_p"))
+    bins = work.withColumn("_bin", F.when(F.col("_p").isNull(), 0).otherwise(bin_of("_p", points))).groupBy("_bin").agg(
+        F.count_if((F.col("_y") == 1) & F.col("_p").isNotNull()).alias("tp"), F.count("_p").alias("flagged"),
         F.count_if((F.col("_y") == 1)).alias("pos"))
     table = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate([None, *points])], "_bin int, threshold double")
     full = table.join(bins, "_bin", "left").fillna(0, ["tp", "flagged", "pos"])

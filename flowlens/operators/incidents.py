@@ -207,13 +207,13 @@ def kl_drift(df: DataFrame, p: str, now: Column, current_hours: int = 24, baseli
              bins: int = 10, alert: float = 0.10, rollback: float = 0.25, ts: str = "ts") -> DataFrame:
     """KL divergence of the confidence histogram: last hours against the days before.
 
-    Add-one smoothing keeps empty bins finite.
+    Add-one smoothing keeps empty bins finite; rows without a finite score are left out.
     """
     cut = now - F.make_dt_interval(hours=F.lit(current_hours))
     first = cut - F.make_dt_interval(days=F.lit(baseline_days))
     in_current, in_baseline = q(ts) >= cut, (q(ts) >= first) & (q(ts) < cut)
     edges = [i / bins for i in range(1, bins)]
-    counts = df.filter((q(ts) >= first) & (q(ts) < now)).withColumn("_p", finite(q(p))).groupBy(
+    counts = df.filter((q(ts) >= first) & (q(ts) < now)).withColumn("_p", finite(q(p))).filter("_p is not null").groupBy(
         bin_of("_p", edges).alias("bin")).agg(
         F.count_if(in_current).alias("c"), F.count_if(in_baseline).alias("b"))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
