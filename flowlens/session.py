@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_archives: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "flowlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,8 +22,27 @@ def build_session(app: str = "flowlens", master: str | None = None, **conf: str)
     return prepare(builder.getOrCreate())
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application.
+
+    Functions reach the workers by the name of their module, which only the
+    driver's path may hold. The driver serves the archive; nothing else reads
+    its folder, which goes when the driver ends.
+    """
+    package, app = Path(__file__).resolve().parent, spark.sparkContext.applicationId
+    if app in _archives or not package.is_dir():
+        return
+    _archives[app] = tempfile.TemporaryDirectory(prefix="flowlens-")
+    archive = f"{_archives[app].name}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the SQL options every operator relies on; keep what the user has chosen."""
+    """Ship the package and set the SQL options every operator relies on; keep what the user has chosen."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
