@@ -106,6 +106,7 @@ def _full_lists(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     The rarest part of a set, 1 - t of its shingles, is mostly its own even in
     a large group of copies of one text that differ too much to be links.
+    ``rest`` is the number of the set's shared shingles from the value on.
     """
     values = classes.join(sets, "id").select("id", "n", "c", F.explode("all").alias("value"))
     held = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -113,16 +114,27 @@ def _full_lists(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     alone = F.col("n") - F.size("v")
     keep = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(percent / 100) - 1e-9) + 1 - alone, F.lit(0)).cast("int")
-    lists = common.select("id", "n", "c", F.explode(F.slice("v", F.lit(1), keep)).alias("x")).select("x.value", "id", "n", "c")
+    lists = common.select("id", "n", "c", F.size("v").alias("size"), F.posexplode(F.slice("v", F.lit(1), keep)).alias("at", "x")) \
+        .select("x.value", "id", "n", "c", (F.col("size") - F.col("at")).alias("rest"))
     main = lists.groupBy("value").agg(F.max("c").alias("main"))
     return lists.join(main, "value").withColumn("out", F.col("c") != F.col("main"))
 
 
 def _across(grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in a list: each class outside the main one with all others."""
-    outside = grouped.where("out").select("value", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    return outside.join(grouped, "value").where(
-        (F.col("ac") != F.col("c")) & (~F.col("out") | (F.col("a") < F.col("id"))) & _close(F.col("an"), F.col("n"), percent)) \
+    """Pairs (a, b) of different components in a list: each class outside the main one with all others.
+
+    At the first value that two classes share, the smaller ``rest`` bounds what
+    they share in all, so a link meets its need there. A class that is too deep
+    in its set for a partner of its own size only meets smaller partners, and
+    those must not be deep: two deep ones are never brought together.
+    """
+    deep = F.col("rest") * (100 + percent) < 2 * F.col("n") * percent
+    outside = grouped.where("out").select("value", deep.alias("deep"), F.col("id").alias("a"), F.col("n").alias("an"),
+                                          F.col("c").alias("ac"), F.col("rest").alias("ar"))
+    others = grouped.withColumn("deep", F.explode(F.when(deep, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    enough = F.least("ar", "rest") * (100 + percent) >= (F.col("an") + F.col("n")) * percent
+    return outside.join(others, ["value", "deep"]).where(
+        (F.col("ac") != F.col("c")) & (~F.col("out") | (F.col("a") < F.col("id"))) & _close(F.col("an"), F.col("n"), percent) & enough) \
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
@@ -161,8 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        exact Jaccard similarity of the full sets; links form components.
     4. Only classes outside a list's main component are then compared with all
        others of the list, across components. Classes of lists longer than
-       ``crowd`` do so by lists over their full sets (`_full_lists`), which is
-       as complete and proposes far fewer pairs. So a large group of near
+       ``crowd`` do so by lists over their full sets (`_full_lists`), where the
+       place of a value bounds the similarity: as complete, with far fewer pairs. So a large group of near
        copies costs a few comparisons for each member, and no link between
        different components is missed.
 
@@ -199,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = grouped.join(main, "value").withColumn("out", F.col("c") != F.col("main"))
     crowded = materialize(grouped.where(F.col("size") > crowd).groupBy("value").agg(F.max("out").alias("any")).where("any")
                           .select("value").join(grouped, "value").select("id", "n", "c").distinct())
-    last = _across(grouped.where(F.col("size") <= crowd), percent) \
+    last = _across(grouped.where(F.col("size") <= crowd).withColumn("rest", F.col("n")), percent) \
         .unionByName(_across(_full_lists(crowded, sets, percent), percent)).distinct()
     found = components(links.unionByName(materialize(_confirmed(last, sketches, sets, percent, k))))
     named = classes.join(found, classes["id"] == found["node"], "left") \
