@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.session import materialize
 
@@ -91,8 +92,8 @@ def running_total(df: DataFrame, order: str, measures: Sequence[str], by: Sequen
 
 
 def order_cutoffs(df: DataFrame, order: str, bucket: str, quota: Callable[[dict, int], int],
-                  by: Sequence[str] = ()) -> dict[tuple, str | None]:
-    """Per group the order value of its quota-th row, or None for a quota of 0.
+                  by: Sequence[str] = ()) -> dict[tuple, Column | None]:
+    """Per group the order value (a literal) of its quota-th row, or None for a quota of 0.
 
     ``order`` is a unique sortable column and ``bucket`` a column that grows with
     it. ``quota(key, n)`` gives the wanted rows of a group with ``n`` rows. Two
@@ -104,7 +105,7 @@ def order_cutoffs(df: DataFrame, order: str, bucket: str, quota: Callable[[dict,
     total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
     sizes = {tuple(r[c] for c in by): r["n"] or 0 for r in bounded_rows(total)}
     wanted = {k: max(0, min(quota(dict(zip(by, k)), n), n)) for k, n in sizes.items()}
-    cutoffs: dict[tuple, str | None] = {k: None for k in wanted}
+    cutoffs: dict[tuple, Column | None] = {k: None for k in wanted}
     asked = [(*k, w) for k, w in wanted.items() if w > 0]
     if not asked:
         return cutoffs
@@ -127,10 +128,16 @@ def order_cutoffs(df: DataFrame, order: str, bucket: str, quota: Callable[[dict,
         .withColumn("_place", F.row_number().over(place))
         .filter(F.col("_place") == F.col("_left")))
     for r in bounded_rows(hits):
-        cutoffs[tuple(r[c] for c in by)] = r[order]
+        cutoffs[tuple(r[c] for c in by)] = _literal(r[order], df.schema[order].dataType)
     return cutoffs
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    return F.lit(value).cast(kind)
+
+
 def with_cutoff_column(df: DataFrame, order: str, bucket: str, quota: Callable[[Column], Column], by: Sequence[str],
                        output: str) -> DataFrame:
     """Flag the first rows of each group when there are too many groups for literals.
@@ -153,7 +160,7 @@ def with_cutoff_column(df: DataFrame, order: str, bucket: str, quota: Callable[[
     return joined.withColumn(output, taken).drop(*names.values(), "_n", "_quota", "_before")
 
 
-def within_cutoffs(cutoffs: dict[tuple, str | None], order: str, by: Sequence[str] = ()) -> Column:
+def within_cutoffs(cutoffs: dict[tuple, Column | None], order: str, by: Sequence[str] = ()) -> Column:
     """Predicate: the row is among the first of its group. Bounded by MAX_GROUPS literals."""
     by = list(by)
     if not by:

@@ -22,10 +22,11 @@ def with_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def with_row_order(df: DataFrame, key: str, leading: str) -> DataFrame:
-    """Add ``_order`` = a sortable text key and ``_bucket`` = a range bin of its leading number."""
+    """Add ``_order`` = (leading number, key), NULL first, and ``_bucket`` = a range bin of the leading number."""
     bins = bin_count(df)
     splits = range_splits(df, leading, bins).get((), [])
-    return df.withColumn("_order", q(key)).withColumn("_bucket", bin_of(leading, splits))
+    return df.withColumn("_order", F.struct(q(leading).alias("leading"), q(key).alias("key"))).withColumn(
+        "_bucket", F.when(q(leading).isNull(), -1).otherwise(bin_of(leading, splits)))
 
 
 def _plain(df: DataFrame) -> DataFrame:
