@@ -40,10 +40,10 @@ def compare_importance(t: Tables) -> DataFrame:
                                     clean.unpivot_row(means, left[:2], "statistic"))
 
 
-@query("c03_top_up", """SELECT row_key FROM flows WHERE label = 'Bot' AND row_key NOT IN (
+@query("c03_top_up", """SELECT row_key FROM flows WHERE label <> 'BENIGN' AND row_key NOT IN (
   SELECT row_key FROM flows WHERE flow_no % 3 = 0) ORDER BY row_key LIMIT 200""", (a.FLOWS,))
 def top_up(t: Tables) -> DataFrame:
-    f = split.with_row_order(a.flows(t), "row_key", "flow_no").filter("label = 'Bot'")
+    f = split.with_row_order(a.flows(t), "row_key", "flow_no").filter("label <> 'BENIGN'")
     taken = a.flows(t).filter("flow_no % 3 = 0")
     return joins.top_up(f, taken, "row_key", "_order", "_bucket", 200).select("row_key")
 
