@@ -119,7 +119,7 @@ def identical_columns(df: DataFrame, columns: Sequence[str] | None = None) -> di
     columns = list(columns or df.columns)
     row = F.xxhash64(*[q(c) for c in columns])
     prints = df.agg(*[
-        F.sum(F.pmod(F.xxhash64(row, F.coalesce(q(c).cast("string"), F.lit("\x00"))), F.lit(1 << 22)))
+        F.sum(F.pmod(F.xxhash64(row, F.coalesce(q(c).cast("string"), F.lit("\x00"))), F.lit(1 << 22)).cast("decimal(20,0)"))
         .alias(str(i)) for i, c in enumerate(columns)]).first()
     same_print: dict[tuple, list[str]] = {}
     for i, c in enumerate(columns):
