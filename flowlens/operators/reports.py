@@ -14,10 +14,18 @@ RESULT_FIELDS = (
 PAYLOAD = (
     f"results array<struct<{RESULT_FIELDS.replace(' string', ':string').replace(' double', ':double').replace(' int', ':int')}>>, "
     "best_by_f1_attack string, train_rows bigint, validation_rows bigint, scale_pos_weight double, "
-    "feature_count bigint, total_rows_available bigint, base_scale_pos_weight double, run_timestamp string, "
+    "feature_count bigint, total_rows_available bigint, base_scale_pos_weight double, timestamp string, run_timestamp string, "
     "recommendation string, host string, generated_at string, max_profile_eps double, bottleneck_hint string, "
     "labels_evaluated array<string>, gate_result struct<pass:boolean>, "
     "profiles array<struct<profile:string,rows:bigint,producer_eps:double,consumer_processed_rate_eps:double>>")
+# What a report of each kind means, and of any other.
+MEANINGS = {
+    "pca_full_comparison": "PCA component stability across fast/balanced/full scales.",
+    "xgb_feature_set_ablation": "Hybrid combo (10+25) selected as strongest tested feature set.",
+    "recall_recovery_experiments": "Threshold tuning helped recall; aggressive class-weight sweeps degraded.",
+    "benchmark_full_plan": "Full industry-style benchmark matrix for ramp/burst/soak/recovery.",
+}
+OTHER_MEANING = "Captured run artifact."
 # Fixed value: the feature set the final status reports on.
 SELECTED = "combo_targeted10_pca25"
 
@@ -92,6 +100,9 @@ def catalog(reports: DataFrame) -> DataFrame:
     def each(column: str, field: str) -> Column:
         return F.transform(F.col(p + column), lambda r: r[field])
 
+    def listed(field: str) -> Column:
+        return F.coalesce(F.get_json_object("payload", f"$.{field}"), F.lit("[]"))
+
     scores = F.transform(F.col("p.results"), lambda r: F.struct(
         *[r[c].alias(c) for c in ("name", "precision_attack", "recall_attack", "f1_attack")]))
     profiles = F.transform(F.col("p.profiles"), lambda r: F.struct(
@@ -107,29 +118,25 @@ def catalog(reports: DataFrame) -> DataFrame:
         .when(kind == "multiclass_vs_binary", js(run_timestamp="run_timestamp"))
         .when(kind == "benchmark_baseline", js(host="host", generated_at="generated_at"))
         .when(kind == "benchmark_full_plan", F.get_json_object("payload", "$.inputs"))
-        .otherwise(js(run_timestamp="run_timestamp", generated_at="generated_at")))
+        .otherwise(js(timestamp="timestamp", run_timestamp="run_timestamp", generated_at="generated_at")))
     result = (
         F.when(kind == "pca_full_comparison", js(k95_values=each("results", "k95"),
                k99_values=each("results", "k99"), total_time_s=each("results", "total_s")))
         .when(kind == "xgb_feature_set_ablation", js(best_by_f1_attack="best_by_f1_attack", scores=scores))
-        .when(kind == "recall_recovery_experiments", js(
-            threshold_sweep=F.get_json_object("payload", "$.threshold_sweep_hybrid"),
-            scale_pos_weight_sweep=F.get_json_object("payload", "$.scale_pos_weight_sweep_hybrid_at_t005")))
+        .when(kind == "recall_recovery_experiments", F.concat(
+            F.lit('{"threshold_sweep":'), listed("threshold_sweep_hybrid"),
+            F.lit(',"scale_pos_weight_sweep":'), listed("scale_pos_weight_sweep_hybrid_at_t005"), F.lit("}")))
         .when(kind == "multiclass_vs_binary", F.get_json_object("payload", "$.comparison"))
         .when(kind == "benchmark_baseline", js(max_profile_eps="max_profile_eps", profiles=profiles))
         .when(kind == "benchmark_full_plan", F.get_json_object("payload", "$.phases"))
         .otherwise(F.to_json(F.struct(F.slice(F.json_object_keys("payload"), 1, 12).alias("keys")))))
-    meaning = (
-        F.when(kind == "pca_full_comparison", "component counts by sample size")
-        .when(kind == "xgb_feature_set_ablation", "feature sets compared by F1")
-        .when(kind == "recall_recovery_experiments", "threshold and class-weight sweeps")
-        .when(kind == "multiclass_vs_binary", F.col("p.recommendation"))
-        .when(kind == "benchmark_baseline", F.col("p.bottleneck_hint"))
-        .when(kind == "benchmark_full_plan", "benchmark matrix")
-        .otherwise("run artifact"))
+    meaning = F.when(kind == "multiclass_vs_binary", F.coalesce("p.recommendation", F.lit(""))).when(
+        kind == "benchmark_baseline", F.coalesce("p.bottleneck_hint", F.lit("")))
+    for name, text in MEANINGS.items():
+        meaning = meaning.when(kind == name, text)
     return parsed(reports).select(
         kind.alias("test_name"), F.concat("prefix", F.lit("_"), "run_ts", F.lit(".json")).alias("file"),
-        config.alias("config"), result.alias("result"), meaning.alias("inference"))
+        config.alias("config"), result.alias("result"), meaning.otherwise(OTHER_MEANING).alias("inference"))
 
 
 def filter_catalog(entries: DataFrame, kind: str = "all", date: str = "", text: str = "") -> DataFrame:

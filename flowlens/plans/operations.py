@@ -233,8 +233,9 @@ def model_eval_fallback(t: Tables) -> DataFrame:
     return rounded(rep.model_eval(a.reports(t).filter("prefix <> 'multiclass_eval'")), "f1_attack")
 
 
-_MEANING = """CASE prefix WHEN 'pca_full_comparison' THEN 'component counts by sample size'
-  WHEN 'xgb_feature_set_ablation' THEN 'feature sets compared by F1' WHEN 'benchmark_baseline' THEN 'consumer_bound' ELSE 'run artifact' END"""
+_MEANING = """CASE prefix WHEN 'pca_full_comparison' THEN 'PCA component stability across fast/balanced/full scales.'
+  WHEN 'xgb_feature_set_ablation' THEN 'Hybrid combo (10+25) selected as strongest tested feature set.'
+  WHEN 'benchmark_baseline' THEN 'consumer_bound' ELSE 'Captured run artifact.' END"""
 
 
 @query("d44_catalog", f"""SELECT prefix AS test_name, prefix || '_' || run_ts || '.json' AS file, {_MEANING} AS inference,
@@ -249,6 +250,27 @@ def catalog(t: Tables) -> DataFrame:
         F.get_json_object("result", "$.k95_values[0]").cast("bigint").alias("first_k95"))
 
 
+# The kinds that `reports` has no payload for, in turn over the events.
+_MORE = ["recall_recovery_experiments", "multiclass_vs_binary", "benchmark_full_plan"]
+
+
+@query("d44_catalog_more", """SELECT prefix AS test_name, prefix || '_' || run_ts || '.json' AS file, CASE prefix
+  WHEN 'recall_recovery_experiments' THEN 'Threshold tuning helped recall; aggressive class-weight sweeps degraded.'
+  WHEN 'multiclass_vs_binary' THEN 'keep binary' ELSE 'Full industry-style benchmark matrix for ramp/burst/soak/recovery.' END AS inference,
+  CASE prefix WHEN 'recall_recovery_experiments' THEN '{"train_rows":' || event_id || '}' WHEN 'multiclass_vs_binary'
+    THEN '{"run_timestamp":"r' || event_id || '"}' ELSE '{"rows":' || event_id || '}' END AS config,
+  CASE prefix WHEN 'recall_recovery_experiments' THEN '{"threshold_sweep":[' || event_id || '],"scale_pos_weight_sweep":[]}' WHEN 'multiclass_vs_binary'
+    THEN '{"winner":"binary"}' ELSE '["ramp","soak"]' END AS result
+  FROM (SELECT * REPLACE (['recall_recovery_experiments', 'multiclass_vs_binary', 'benchmark_full_plan'][event_id % 3 + 1] AS prefix) FROM reports)""", R)
+def catalog_more(t: Tables) -> DataFrame:
+    no = F.col("event_id")
+    payload = F.struct(no.alias("train_rows"), F.concat(F.lit("r"), no).alias("run_timestamp"), F.array(no).alias("threshold_sweep_hybrid"),
+                       F.lit("keep binary").alias("recommendation"), F.struct(F.lit("binary").alias("winner")).alias("comparison"),
+                       F.struct(no.alias("rows")).alias("inputs"), F.array(F.lit("ramp"), F.lit("soak")).alias("phases"))
+    kind = F.get(F.array(*[F.lit(k) for k in _MORE]), (no % 3).cast("int"))
+    return rep.catalog(a.reports(t).withColumn("prefix", kind).withColumn("payload", F.to_json(payload)))
+
+
 @query("b23_filter_catalog", """SELECT prefix || '_' || run_ts || '.json' AS file FROM reports WHERE prefix = 'benchmark_baseline'
   AND contains(run_ts, '20240105')""", R)
 def filter_catalog(t: Tables) -> DataFrame:
