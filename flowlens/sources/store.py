@@ -42,8 +42,10 @@ def upsert(df: DataFrame, path: str, key: str, version: str, day_of: str) -> Non
     merged = fresh
     if path_exists(spark, path):
         stored = spark.read.schema(fresh.schema).parquet(path)
-        days = fresh.select("day").distinct()
-        merged = stored.join(days, "day", "left_semi").unionByName(fresh)
+        # Bounded: the days that one micro-batch touches; as literals they prune partitions.
+        days = [r["day"] for r in fresh.select("day").distinct().collect()]
+        same = F.col("day").isin([d for d in days if d is not None])
+        merged = stored.filter(same | F.col("day").isNull() if None in days else same).unionByName(fresh)
     latest_rows(merged, key, version).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
