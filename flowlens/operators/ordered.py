@@ -56,39 +56,31 @@ def range_splits(df: DataFrame, column: str, bins: int, by: Sequence[str] = ())
 
 
 def running_total(df: DataFrame, order: str, measures: Sequence[str], by: Sequence[str] = (),
-                  descending: bool = False, bins: int | None = None) -> DataFrame:
+                  descending: bool = False) -> DataFrame:
     """Add ``<m>_before``, the sum of measure ``m`` over smaller order values, and ``<m>_all``.
 
-    ``df`` holds one row per group and order value (aggregate first) and at most
-    ``MAX_GROUPS`` groups, such as features. It is read three times.
+    ``df`` holds one row per group and order value (aggregate first). It is
+    written once in ranges of (group, order value); totals per range give the
+    offsets and a window runs inside each range, so a range is as large as a
+    shuffle partition, whatever the number or size of the groups.
     """
     by = list(by)
-    bins = bins or bin_count(df)
-    work = df.withColumn("_ord", -F.col(order) if descending else F.col(order))
-    splits = range_splits(work, "_ord", bins, by)
-    if by:
-        width = max((len(s) for s in splits.values()), default=0)
-        padded = [(*k, s + [float("inf")] * (width - len(s))) for k, s in splits.items()]
-        fields = [df.schema[c].simpleString().replace(":", " ", 1) for c in by]
-        table = df.sparkSession.createDataFrame(padded, ", ".join([*fields, "_splits array<double>"]))
-        # Bounded: at most MAX_GROUPS x bins doubles, checked when the splits were read.
-        work = work.join(F.broadcast(table), by)
-        tree = _tree(0, width, "_ord", lambda i: f"_splits[{i}]")
-        work = work.withColumn("_bin", F.expr(tree)).drop("_splits")
-    else:
-        work = work.withColumn("_bin", bin_of("_ord", splits.get((), [])))
-    totals = work.groupBy(*by, "_bin").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.withColumn("_ord", -F.col(order) if descending else F.col(order)).repartitionByRange(*by, "_ord")
+    work = materialize(dealt.withColumn("_bin", F.spark_partition_id()))
+    keys = [f"_k{i}" for i in range(len(by))]
+    totals = work.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("_bin").alias("_in")).agg(
+        *[F.sum(m).alias(f"_t_{m}") for m in measures])
+    earlier = Window.partitionBy(*keys).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "_bin",
+        *keys, "_in",
         *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
-        *[F.sum(f"_t_{m}").over(Window.partitionBy(*by)).alias(f"{m}_all") for m in measures])
+        *[F.sum(f"_t_{m}").over(Window.partitionBy(*keys)).alias(f"{m}_all") for m in measures])
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
     inside = Window.partitionBy(*by, "_bin").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-    # Bounded: one row per group and bin.
-    out = work.join(F.broadcast(offsets), [*by, "_bin"])
+    out = work.join(offsets, [F.col("_bin") == F.col("_in"), *same])
     for m in measures:
         out = out.withColumn(f"{m}_before", F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0)))
-    return out.drop("_ord", "_bin", *[f"_o_{m}" for m in measures])
+    return out.drop("_ord", "_bin", "_in", *keys, *[f"_o_{m}" for m in measures])
 
 
 def order_cutoffs(df: DataFrame, order: str, bucket: str, quota: Callable[[dict, int], int],
@@ -140,7 +132,7 @@ def _literal(value, kind: T.DataType) -> Column:
 
 def with_cutoff_column(df: DataFrame, order: str, bucket: str, quota: Callable[[Column], Column], by: Sequence[str],
                        output: str) -> DataFrame:
-    """Flag the first rows of each group when there are too many groups for literals.
+    """Flag the first rows of each group, for any number of groups.
 
     ``quota`` maps the group's row count to the wanted rows. Joining and ranking by
     group and bucket keeps a hot group spread over its buckets.

@@ -1,163 +1,85 @@
-"""Exact percentiles (linear interpolation) that stay bounded on huge groups."""
+"""Exact percentiles (linear interpolation) by sketched brackets and a distributed rank."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.ordered import bounded_rows
-from flowlens.session import reusable, spread
+from flowlens.operators.ordered import running_total
+from flowlens.session import materialize, reusable
 
-# Values a single aggregation state may hold before the bracketing search is used.
-STATE_BUDGET = 8_000_000
+# Rank error of the sketch is a group's rows / ACCURACY.
+ACCURACY = 20_000
 
 
-def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                      by: str | None = None, budget: int = STATE_BUDGET) -> DataFrame:
-    """Rows ``(by?, feature, prob, value)``; NULL values are skipped.
+def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: str | None = None,
+                      accuracy: int = ACCURACY, stored: bool = False) -> DataFrame:
+    """Rows ``(by?, feature, prob, value)``; NULL and NaN are skipped, infinities are ordered as values.
 
-    Spark's ``percentile`` keeps every distinct value of a group in one state.
-    Groups too big for that are searched instead: sketch quantiles bracket the
-    wanted rank, exact counts confirm the bracket, and the next pass looks only
-    inside it until few rows are left.
+    ``percentile`` keeps every distinct value of a group in one state. Here a
+    sketch brackets each wanted rank, one pass counts the rows below the bracket
+    and another ranks the few values inside it, for groups of any size and number.
+    A feature without values gets a NULL. ``stored`` tells that ``df`` is a
+    plain table, which is read three times; otherwise the columns are written first.
     """
-    columns, probs = list(columns), list(probs)
-    groups = [by] if by else []
-    limit = max(budget // max(len(columns), 1), 1)
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    large = [r[by] if by else None for r in bounded_rows(sizes.filter(F.col("n") > limit))]
-    if not large:
-        return _direct(df, columns, probs, by)
-    if not by:
-        return _search(df.withColumn("_all", F.lit("")), columns, probs, "_all", [""], limit).drop("_all")
-    named = [g for g in large if g is not None]
-    big = F.coalesce(F.col(by).isin(named), F.lit(False))
-    if None in large:
-        big = big | F.col(by).isNull()
-    return _direct(df.filter(~big), columns, probs, by).unionByName(
-        _search(df.filter(big), columns, probs, by, large, limit))
+    columns, probs = list(columns), [float(p) for p in probs]
+    slots = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
+    base = df.select((F.col(f"`{by}`") if by else F.lit("")).alias("_g"), *[
+        F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"_v{i}") for i, c in enumerate(columns)])
+    base = base if stored else reusable(base)
+    ends = [min(max(p + side * 4 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    brackets = materialize(base.groupBy("_g").agg(
+        F.array(*[F.count(f"_v{i}") for i in range(len(columns))]).alias("n"),
+        F.array(*[F.percentile_approx(f"_v{i}", ends, accuracy) for i in range(len(columns))]).alias("ends")))
+    ranges = brackets.withColumnRenamed("_g", "_key")
+    # One row without groups; otherwise the planner knows the size of the written table.
+    ranged = base.join(ranges if by else F.broadcast(ranges), F.col("_g").eqNullSafe(F.col("_key")))
+
+    def bounds(i: int, j: int) -> tuple[Column, Column, Column]:
+        return F.col(f"_v{i}"), F.col("ends")[i][2 * j], F.col("ends")[i][2 * j + 1]
+
+    def around(i: int, j: int) -> Column:
+        v, low, high = bounds(i, j)
+        return F.struct(F.lit(i * len(probs) + j).alias("s"), F.lit(columns[i]).alias("feature"), F.lit(probs[j]).alias("prob"),
+                        F.count(v).alias("n"), F.count_if(v < low).alias("below"), F.count_if((v >= low) & (v <= high)).alias("inside"),
+                        F.max(F.when(v < low, v)).alias("before"), F.min(F.when(v > high, v)).alias("after"))
+
+    def inside(i: int, j: int) -> Column:
+        v, low, high = bounds(i, j)
+        return F.when((v >= low) & (v <= high), F.struct(F.lit(i * len(probs) + j).alias("s"), v.alias("v")))
+
+    place = (F.col("n") - 1) * F.col("prob")
+    targets = materialize(ranged.groupBy("_g").agg(F.array(*[around(*s) for s in slots]).alias("t")).select("_g", F.explode("t").alias("t"))
+                          .select("_g", "t.*").withColumns({"h": place, "first": F.floor(place), "last": F.ceil(place)}))
+    values = ranged.select("_g", F.explode(F.array_compact(F.array(*[inside(*s) for s in slots]))).alias("x")) \
+        .groupBy("_g", "x.s", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_total(values, "v", ["c"], by=["_g", "s"])
+    asked = targets.select(F.col("_g").alias("_key"), F.col("s").alias("_s"), "below", "first", "last")
+    met = ranked.join(asked, F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("_s")))
+
+    def holds(rank: str) -> Column:
+        left = F.col(rank) - F.col("below")
+        return F.when((F.col("c_before") <= left) & (left < F.col("c_before") + F.col("c")), F.col("v"))
+
+    found = met.groupBy("_key", "_s").agg(F.max(holds("first")).alias("low"), F.max(holds("last")).alias("high"))
+
+    def value(rank: str, name: str) -> Column:
+        at = F.col(rank) - F.col("below")
+        return F.when(at == -1, F.col("before")).when(at == F.col("inside"), F.col("after")).otherwise(
+            F.coalesce(name, F.raise_error(F.lit("sketch bracket lost the wanted rank")).cast("double")))
+
+    out = targets.join(found, F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("_s")), "left")
+    known = F.col("n") > 0
+    ends_at = out.withColumns({"a": F.when(known, value("first", "low")), "b": F.when(known, value("last", "high"))})
+    result = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.col("first")))
+    return ends_at.select(*([F.col("_g").alias(by)] if by else []), "feature", "prob", result.alias("value"))
 
 
 def percentile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                      budget: int = STATE_BUDGET) -> dict[str, list[float | None]]:
+                      accuracy: int = ACCURACY, stored: bool = False) -> dict[str, list[float | None]]:
     """Percentiles of the whole table as literals: feature -> one value per probability."""
-    columns, probs = list(columns), list(probs)
-    if df.count() <= max(budget // max(len(columns), 1), 1):
-        values = spread(df.select(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(columns)]))
-        row = values.agg(*[F.percentile(c, probs).alias(c) for c in values.columns]).first()
-        return {c: row[str(i)] or [None] * len(probs) for i, c in enumerate(columns)}
-    rows = exact_percentiles(df, columns, probs, budget=budget).collect()
+    rows = exact_percentiles(df, columns, probs, accuracy=accuracy, stored=stored).collect()
     found = {(r["feature"], r["prob"]): r["value"] for r in rows}
-    return {c: [found.get((c, p)) for p in probs] for c in columns}
-
-
-def _direct(df: DataFrame, columns: list[str], probs: list[float], by: str | None) -> DataFrame:
-    groups = [by] if by else []
-    state = df.groupBy(*groups).agg(*[
-        F.percentile(F.col(f"`{c}`").cast("double"), probs).alias(f"_q{i}") for i, c in enumerate(columns)])
-    per_feature = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(columns)]))
-    long = state.select(*groups, per_feature.alias("s")).select(*groups, "s.feature", F.posexplode_outer("s.q"))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("pos") + 1)
-    if not by:
-        long = long.filter(F.col("pos").isNotNull())
-    return long.select(*groups, "feature", prob.alias("prob"), F.col("col").alias("value"))
-
-
-def _search(df: DataFrame, columns: list[str], probs: list[float], by: str, keys: list, limit: int,
-            fan: int = 64) -> DataFrame:
-    """Bracket the two ranks around each wanted position, in wide aggregates per group.
-
-    A target is one (group, feature, probability). Its range is open: the values
-    searched lie strictly between ``lo`` and ``hi``, ``below`` rows lie at or under ``lo``.
-    """
-    key_type = df.schema[by].dataType.simpleString()
-    slots = [(i, float(p)) for i in range(len(columns)) for p in probs]
-    base = reusable(df.select(F.col(by).alias("_g"), *[
-        F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]))
-    grid = [j / fan for j in range(fan + 1)]
-    # First pass: one sketch per feature serves all its probabilities.
-    first = {r["_g"]: r for r in base.groupBy("_g").agg(
-        *[F.count(f"_v{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[F.percentile_approx(f"_v{i}", grid, 100 * fan).alias(f"q{i}") for i in range(len(columns))]).collect()}
-    state: dict[tuple, dict] = {}
-    for key in keys:
-        for slot, (i, p) in enumerate(slots):
-            n = first[key][f"n{i}"]
-            h = (n - 1) * p if n else 0.0
-            state[key, slot] = {"lo": float("-inf"), "hi": float("inf"), "below": 0, "inside": n, "h": h,
-                                "ranks": (math.floor(h), math.ceil(h)), "found": {}}
-
-    def pending(t: dict) -> list[int]:
-        return [k for k in t["ranks"] if k not in t["found"]] if t["inside"] else []
-
-    def with_ranges(frame: DataFrame) -> DataFrame:
-        rows = [(key, [state[key, j]["lo"] for j in range(len(slots))], [state[key, j]["hi"] for j in range(len(slots))])
-                for key in keys]
-        table = df.sparkSession.createDataFrame(rows, f"_key {key_type}, _lo array<double>, _hi array<double>")
-        # Bounded: one row per group, built on the driver.
-        return frame.join(F.broadcast(table), F.col("_g").eqNullSafe(F.col("_key")))
-
-    def value(slot: int):
-        return F.col(f"_v{slots[slot][0]}"), F.col("_lo")[slot], F.col("_hi")[slot]
-
-    while open_ := {ks for ks, t in state.items() if t["inside"] > limit and pending(t)}:
-        used = sorted({slot for _, slot in open_})
-        sketches = {ks: first[ks[0]][f"q{slots[ks[1]][0]}"] for ks in open_} if first else {}
-        if not first:
-            narrowed = []
-            for s in used:
-                v, lo, hi = value(s)
-                narrowed.append(F.percentile_approx(F.when((v > lo) & (v < hi), v), grid, 100 * fan).alias(f"q{s}"))
-            rows = {r["_g"]: r for r in with_ranges(base).groupBy("_g").agg(*narrowed).collect()}
-            sketches = {ks: rows[ks[0]][f"q{ks[1]}"] for ks in open_}
-        first = {}
-        for ks in open_:
-            t, q = state[ks], sketches[ks]
-            # Sketch ranks are off by at most n/(100*fan): one more grid step on each side covers it.
-            steps = [math.floor((k - t["below"]) / t["inside"] * fan) for k in pending(t)]
-            t["lo"], t["hi"] = q[max(min(steps) - 1, 0)], q[min(max(steps) + 2, fan)]
-        exact = []
-        for s in used:
-            v, lo, hi = value(s)
-            exact += [F.count_if(v < lo).alias(f"b{s}"), F.count_if(v == lo).alias(f"l{s}"),
-                      F.count_if((v > lo) & (v < hi)).alias(f"i{s}"), F.count_if(v == hi).alias(f"h{s}")]
-        found = {r["_g"]: r for r in with_ranges(base).groupBy("_g").agg(*exact).collect()}
-        for key, s in open_:
-            t, r = state[key, s], found[key]
-            low, inside, high = r[f"l{s}"], r[f"i{s}"], r[f"h{s}"]
-            for k in pending(t):
-                left = k - r[f"b{s}"]
-                if not 0 <= left < low + inside + high:
-                    raise ArithmeticError("sketch bracket lost the wanted rank")
-                if left < low:
-                    t["found"][k] = t["lo"]
-                elif left >= low + inside:
-                    t["found"][k] = t["hi"]
-            t["below"], t["inside"] = r[f"b{s}"] + low, inside
-    left = [(key, s) for (key, s), t in state.items() if pending(t)]
-    if left:
-        # At most ``limit`` rows per target are left; a window over them is bounded.
-        cells = []
-        for s in sorted({s for _, s in left}):
-            v, lo, hi = value(s)
-            cells.append(F.when((v > lo) & (v < hi), F.struct(F.lit(s).alias("s"), v.alias("v"))))
-        near = with_ranges(base).select("_g", F.explode(F.array_compact(F.array(*cells))).alias("c"))
-        order = Window.partitionBy("_g", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = near.groupBy("_g", "c.s", "c.v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
-        asks = df.sparkSession.createDataFrame(
-            [(key, s, k, k - state[key, s]["below"]) for key, s in left for k in pending(state[key, s])],
-            f"_key {key_type}, _s int, k long, place long")
-        hits = ranked.join(F.broadcast(asks), F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("_s"))).filter(
-            F.col("upto") > F.col("place")).groupBy("_g", "s", "k").agg(F.min("v").alias("v"))
-        for r in hits.collect():
-            state[r["_g"], r["s"]]["found"][r["k"]] = r["v"]
-    rows = []
-    for (key, s), t in state.items():
-        if t["ranks"][0] in t["found"]:
-            v1, v2 = (t["found"][k] for k in t["ranks"])
-            rows.append((key, columns[slots[s][0]], slots[s][1], v1 + (v2 - v1) * (t["h"] - t["ranks"][0])))
-    return df.sparkSession.createDataFrame(rows, f"`{by}` {key_type}, feature string, prob double, value double")
+    return {c: [found.get((c, float(p))) for p in probs] for c in columns}

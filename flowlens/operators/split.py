@@ -33,30 +33,24 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.drop("_order", "_bucket")
 
 
-def half_even_share(n: int, ratio: float) -> int:
+def half_even_share(n: Column, ratio: float) -> Column:
     """Held-out rows of a group: rounded share, at least 1 and at most n-1; none of a single row."""
-    return 0 if n <= 1 else max(1, min(round(n * ratio), n - 1))
+    return F.when(n <= 1, 0).otherwise(F.greatest(F.lit(1), F.least(F.bround(n * F.lit(float(ratio))).cast("long"), n - 1)))
 
 
 def grouped_split(df: DataFrame, key: str, by: Sequence[str], ratio: float = 0.2, seed: int = 42,
-                  dedup_before_split: bool = True, max_groups: int = 2_000) -> DataFrame:
+                  dedup_before_split: bool = True) -> DataFrame:
     """Add ``split`` = train/validation, stratified by the ``by`` columns in hash order.
 
     ``key`` identifies a row. With ``dedup_before_split`` rows that agree in
     everything but the key count once, so copies cannot sit on both sides.
-    Up to ``max_groups`` groups the cut points are literals and no row is shuffled.
+    Groups may be of any number: their cut points are joined, not literals.
     """
     if dedup_before_split:
         rest = [c for c in df.columns if c != key]
         df = df.groupBy(*[q(c) for c in rest]).agg(F.min(q(key)).alias(key)).select(*[q(c) for c in df.columns])
     ordered = with_hash_order(df, key, seed)
-    if df.select(*by).distinct().limit(max_groups + 1).count() <= max_groups:
-        cut = order_cutoffs(ordered, "_order", "_bucket", lambda _k, n: half_even_share(n, ratio), by)
-        flagged = ordered.withColumn("_held", within_cutoffs(cut, "_order", by))
-    else:
-        share = lambda n: F.when(n <= 1, 0).otherwise(
-            F.greatest(F.lit(1), F.least(F.bround(n * F.lit(float(ratio))).cast("long"), n - 1)))
-        flagged = with_cutoff_column(ordered, "_order", "_bucket", share, by, "_held")
+    flagged = with_cutoff_column(ordered, "_order", "_bucket", lambda n: half_even_share(n, ratio), by, "_held")
     side = F.when(F.col("_held"), "validation").otherwise("train")
     return _plain(flagged.withColumn("split", side).drop("_held"))
 

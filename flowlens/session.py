@@ -81,20 +81,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer partitions than half of them.
-
-    A small table is often one file with one row group, which one task would
-    read and process alone. Inputs with many partitions pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    """Even partitions: at least one for each core of a small input, of the advised size in a large one."""
+    return df.hint("rebalance")
 
 
 def reusable(df: DataFrame) -> DataFrame:
-    """For several passes over the same rows: a small input is spread and written once.
-
-    Inputs that already fill the cluster are read again instead, which costs
-    less than writing them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return materialize(df.repartition(cores)) if 2 * df.rdd.getNumPartitions() < cores else df
+    """For several passes over the same rows: written once, in even partitions."""
+    return materialize(spread(df))
