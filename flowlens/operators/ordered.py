@@ -67,7 +67,7 @@ def running_total(df: DataFrame, order: str, measures: Sequence[str], by: Sequen
     by = list(by)
     dealt = df.withColumn("_ord", -F.col(order) if descending else F.col(order)).repartitionByRange(*by, "_ord")
     work = materialize(dealt.withColumn("_bin", F.spark_partition_id()))
-    keys = [f"_k{i}" for i in range(len(by))]
+    keys = [f"_by{i}" for i in range(len(by))]
     totals = work.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("_bin").alias("_in")).agg(
         *[F.sum(m).alias(f"_t_{m}") for m in measures])
     earlier = Window.partitionBy(*keys).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,14 +112,8 @@ def order_cutoffs(df: DataFrame, order: str, bucket: str, quota: Callable[[dict,
         .filter((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("n") >= F.col("_quota")))
         .select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(bucket).alias("_border"),
                 (F.col("_quota") - F.col("_before")).alias("_left")))
-    matches = [*same[: len(by)], F.col(bucket) == F.col("_border")]
-    place = Window.partitionBy(*by).orderBy(order)
-    hits = (
-        df.select(*by, bucket, order)
-        .join(F.broadcast(border), matches)  # one row per group, bounded by MAX_GROUPS
-        .withColumn("_place", F.row_number().over(place))
-        .filter(F.col("_place") == F.col("_left")))
-    for r in bounded_rows(hits):
+    # One row per group, bounded by MAX_GROUPS.
+    for r in bounded_rows(_placed(df, order, bucket, F.broadcast(border), by, same[: len(by)])):
         cutoffs[tuple(r[c] for c in by)] = _literal(r[order], df.schema[order].dataType)
     return cutoffs
 
@@ -134,22 +128,31 @@ def with_cutoff_column(df: DataFrame, order: str, bucket: str, quota: Callable[[
                        output: str) -> DataFrame:
     """Flag the first rows of each group, for any number of groups.
 
-    ``quota`` maps the group's row count to the wanted rows. Joining and ranking by
-    group and bucket keeps a hot group spread over its buckets.
+    ``quota`` maps the group's row count to the wanted rows. Bucket counts find
+    each group's border bucket; only its rows are ranked, and the cut points
+    are joined to the rows by group.
     """
     by = list(by)
     counts = materialize(df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n")))
     whole, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1)
-    names = {c: f"_k{i}" for i, c in enumerate([*by, bucket])}
-    marks = counts.select(*[F.col(c).alias(n) for c, n in names.items()], "_n",
+    names = {c: f"_k{i}" for i, c in enumerate(by)}
+    marks = counts.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(bucket).alias("_border"), "_n",
                           quota(F.sum("_n").over(whole)).alias("_quota"),
                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    joined = df.join(marks, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
-    place = F.row_number().over(Window.partitionBy(*names.values()).orderBy(order))
-    taken = F.when(F.col("_before") + F.col("_n") <= F.col("_quota"), True).when(
-        F.col("_before") >= F.col("_quota"), False).otherwise(F.col("_before") + place <= F.col("_quota"))
-    return joined.withColumn(output, taken).drop(*names.values(), "_n", "_quota", "_before")
+    border = marks.filter((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota"))).select(
+        *names.values(), "_border", (F.col("_quota") - F.col("_before")).alias("_left"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    cuts = materialize(_placed(df, order, bucket, border, by, same).select(*names.values(), F.col(order).alias("_cut")))
+    # A written table of one row per group: the planner knows its size.
+    return df.join(cuts, same, "left").withColumn(output, F.coalesce(F.col(order) <= F.col("_cut"), F.lit(False))).drop(
+        *names.values(), "_cut")
+
+
+def _placed(df: DataFrame, order: str, bucket: str, border: DataFrame, by: Sequence[str], same: list[Column]) -> DataFrame:
+    """The ``_left``-th row of each group's border bucket, ranked in ranges however many rows the bucket has."""
+    near = df.select(*by, bucket, order).join(border, [*same, F.col(bucket) == F.col("_border")])
+    return running_total(near.withColumn("_one", F.lit(1)), order, ["_one"], by).filter(F.col("_one_before") + 1 == F.col("_left"))
 
 
 def within_cutoffs(cutoffs: dict[tuple, Column | None], order: str, by: Sequence[str] = ()) -> Column:

@@ -12,6 +12,7 @@ from flowlens.functions.values import hash_order
 from flowlens.operators.clean import q
 from flowlens.operators.ordered import (
     bin_count, bin_of, bounded_rows, first_rows, order_cutoffs, range_splits, with_cutoff_column, within_cutoffs)
+from flowlens.session import materialize
 
 
 def with_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -49,6 +50,7 @@ def grouped_split(df: DataFrame, key: str, by: Sequence[str], ratio: float = 0.2
     if dedup_before_split:
         rest = [c for c in df.columns if c != key]
         df = df.groupBy(*[q(c) for c in rest]).agg(F.min(q(key)).alias(key)).select(*[q(c) for c in df.columns])
+        df = materialize(df)  # read three times below
     ordered = with_hash_order(df, key, seed)
     flagged = with_cutoff_column(ordered, "_order", "_bucket", lambda n: half_even_share(n, ratio), by, "_held")
     side = F.when(F.col("_held"), "validation").otherwise("train")
