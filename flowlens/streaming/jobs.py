@@ -43,45 +43,66 @@ def unique_messages(messages: DataFrame, event_time: str, delay: str = "10 minut
     return messages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def batch_counters(batch: DataFrame, p: str, threshold: float, ingest: str = "ingest_ts") -> list[Column]:
-    hit = F.coalesce(q(p) >= threshold, F.lit(False))
-    to_detect = F.when(hit, millis_between(q(ingest), F.col("detect_ts")))
+def batch_counters(batch: DataFrame, p: str, threshold: float) -> list[Column]:
     failed = F.col("parse_failed") if "parse_failed" in batch.columns else F.lit(False)
-    return [F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("threats"), F.count_if(failed).alias("parse_failures"),
-            F.avg(to_detect).alias("ingest_to_detect_ms_avg"),
-            F.percentile_approx(to_detect, 0.95, 10_000).alias("ingest_to_detect_ms_p95"),
-            F.max(ingest).alias("last_ingest_ts")]
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(q(p) >= threshold).alias("threats"),
+            F.count_if(failed).alias("parse_failures")]
 
 
 METRICS = ("batch_id long, updated_at timestamp, run_id string, rows long, threats long, parse_failures long, "
-           "rate_eps double, ingest_to_detect_ms_avg double, ingest_to_detect_ms_p95 double, stage_ms map<string,double>")
+           "rate_eps double, ingest_to_detect_ms_avg double, ingest_to_detect_ms_p95 double, ingest_to_write_ms_p95 double, "
+           "detect_to_write_ms double, write_errors long, stage_ms map<string,double>")
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc)
+
+
+def _millis(start: datetime, end: datetime) -> float:
+    return (end - start).total_seconds() * 1000
 
 
 def incident_writer(path: str, metrics_path: str | None, threshold: float, features: list[str], p: str = "p",
-                    run_id: str = "") -> Callable[[DataFrame, int], None]:
+                    run_id: str = "", attempts: int = 3) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: threats of a scored batch to the incident table, one metrics row per batch.
 
-    Counters are observed while the incidents are written, so the batch runs
-    once. Both writes replace the batch's own folder: a retry adds nothing.
+    The threats are scored into ``<path>_scored``, which the next batch
+    replaces; counters are observed on the way, so the batch runs once.
+    ``detect_ts`` is the time when that is done. ``write_ts`` of a document is
+    the time its writing starts; the metrics measure up to the commit. A write
+    is tried ``attempts`` times. All writes replace the batch's own folder: a
+    retry adds nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        started = datetime.now(timezone.utc)
-        stamped = batch.withColumn("detect_ts", F.lit(started)).withColumn(
-            "ingest_ts", F.coalesce("ingest_ts", F.lit(started)) if "ingest_ts" in batch.columns else F.lit(started))
+        spark, started = batch.sparkSession, _now()
+        arrived = F.coalesce("ingest_ts", F.lit(started)) if "ingest_ts" in batch.columns else F.lit(started)
         counters = Observation()
-        seen = stamped.observe(counters, *batch_counters(stamped, p, threshold))
-        hits = threats(seen, threshold, p).withColumn("write_ts", F.lit(datetime.now(timezone.utc)))
+        seen = batch.withColumn("ingest_ts", arrived).observe(counters, *batch_counters(batch, p, threshold))
+        scored = threats(seen, threshold, p)
+        scored.write.mode("overwrite").parquet(f"{path}_scored")
+        detected = _now()
+        hits = spark.read.schema(scored.schema).parquet(f"{path}_scored").withColumn("detect_ts", F.lit(detected))
         absent = {c: F.lit(None).cast("string") for c in
                   ("threat_classification", "benchmark_run_id", "benchmark_profile", "source_ip", "destination_ip",
                    "target_port") if c not in hits.columns}
-        write_incidents(to_incident(hits.withColumns(absent), features, threshold, p), path, batch_id)
+        for attempt in range(attempts):
+            try:
+                stamped = hits.withColumn("write_ts", F.lit(_now()))
+                write_incidents(to_incident(stamped.withColumns(absent), features, threshold, p), path, batch_id)
+                break
+            except Exception:
+                if attempt + 1 == attempts:
+                    raise
+        done = _now()
         if metrics_path:
-            done = datetime.now(timezone.utc)
-            seconds = max((done - started).total_seconds(), 1e-6)
-            c = counters.get
-            row = (batch_id, done, run_id, c["rows"], c["threats"], c["parse_failures"], c["rows"] / seconds,
-                   c["ingest_to_detect_ms_avg"], c["ingest_to_detect_ms_p95"], {"batch": seconds * 1000})
-            batch.sparkSession.createDataFrame([row], METRICS).coalesce(1).write.mode("overwrite").parquet(
+            to_detect, to_write = (millis_between(F.col("ingest_ts"), F.lit(t)) for t in (detected, done))
+            delays = hits.agg(F.avg(to_detect), F.percentile_approx(to_detect, 0.95, 10_000),
+                              F.percentile_approx(to_write, 0.95, 10_000)).first()
+            c, total = counters.get, max(_millis(started, done), 1e-3)
+            row = (batch_id, done, run_id, c["rows"], c["threats"], c["parse_failures"], c["rows"] / total * 1000, *delays,
+                   _millis(detected, done), attempt,
+                   {"score": _millis(started, detected), "write": _millis(detected, done), "batch": total})
+            spark.createDataFrame([row], METRICS).coalesce(1).write.mode("overwrite").parquet(
                 f"{metrics_path}/batch_id_key={batch_id}")
 
     return write

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,30 @@ def test_incident_batch_is_replaced_not_repeated(spark, folder):
     assert len(row) == 1 and (row[0]["rows"], row[0]["threats"], row[0]["batch_id"]) == (3, 2, 7)
 
 
+def test_stamps_follow_the_work(spark, folder, monkeypatch):
+    @F.udf("double")
+    def slow(x):
+        time.sleep(2)
+        return x
+
+    failures = [OSError("first write fails")]
+    plain = jobs.write_incidents
+
+    def flaky(*args):
+        if failures:
+            raise failures.pop()
+        time.sleep(1)
+        plain(*args)
+
+    monkeypatch.setattr(jobs, "write_incidents", flaky)
+    scored = spark.createDataFrame([(0.5, 1.0)], "p double, bytes double").coalesce(1).withColumn("p", slow("p"))
+    jobs.incident_writer(f"{folder}/inc", f"{folder}/met", 0.5, ["bytes"])(scored, 1)
+    row = spark.read.parquet(f"{folder}/met").first()
+    assert row["ingest_to_detect_ms_p95"] >= 2000 and row["detect_to_write_ms"] >= 1000 and row["write_errors"] == 1
+    assert row["ingest_to_write_ms_p95"] >= 3000 and row["stage_ms"]["score"] >= 2000
+    assert store.read_incidents(spark, f"{folder}/inc").first()["latency_ingest_to_detect_ms"] >= 2000
+
+
 def test_duplicate_messages(spark, folder):
     rows = [(0, 1, "2024-01-01 00:00:00"), (0, 1, "2024-01-01 00:00:01"), (1, 1, "2024-01-01 00:00:02")]
     spark.createDataFrame(rows, "partition int, offset long, t string").withColumn(
