@@ -132,8 +132,7 @@ def ablation(t: Tables) -> DataFrame:
 @query("i12_recall_recovery")
 def recall_recovery(t: Tables) -> DataFrame:
     train, validation = day_split(t)
-    return experiments.recall_recovery(train, validation, a.TARGETED, POOL, 4, extra_weights=(50.0,),
-                                       max_iter=2, max_depth=3)
+    return experiments.recall_recovery(train, validation, a.TARGETED, POOL, 4, max_iter=2, max_depth=3)
 
 
 @query("i13_high_recall")
@@ -147,7 +146,7 @@ def high_recall(t: Tables) -> DataFrame:
 
 @query("i14_forest_importance")
 def forest_importance(t: Tables) -> DataFrame:
-    return experiments.forest_importance(a.flows(t), a.FEATURES, "label", "row_key", trees=3, max_depth=4, folds=2)[0]
+    return experiments.forest_importance(a.flows(t), a.FEATURES, "label", "row_key", trees=3, max_depth=4)[0]
 
 
 @query("i15_bakeoff")
@@ -168,7 +167,7 @@ def knn_vote(t: Tables) -> DataFrame:
 
 @query("i17_learning_curve")
 def learning_curve(t: Tables) -> DataFrame:
-    return experiments.learning_curve(binary(t), a.FEATURES, "y", "row_key", "logistic_regression", shares=(0.1, 1.0), folds=2)
+    return experiments.learning_curve(binary(t), a.FEATURES, "y", "row_key", "logistic_regression")
 
 
 @query("i19_score")
