@@ -73,7 +73,8 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     out = targets.join(found, F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("_s")), "left")
     known = F.col("n") > 0
     ends_at = out.withColumns({"a": F.when(known, value("first", "low")), "b": F.when(known, value("last", "high"))})
-    result = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.col("first")))
+    # As `percentile` interpolates, to the last bit.
+    result = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("last") - F.col("h")) * F.col("a") + (F.col("h") - F.col("first")) * F.col("b"))
     return ends_at.select(*([F.col("_g").alias(by)] if by else []), "feature", "prob", result.alias("value"))
 
 
