@@ -39,10 +39,10 @@ def _select_more(expressions: dict[str, str]) -> SQLTransformer:
                           + " FROM __THIS__")
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+def medians(df: DataFrame, columns: Sequence[str], stored: bool = False) -> dict[str, float]:
     """Exact medians of the finite values; 0 for a column without any."""
     values = df.select(*[finite(q(c)).alias(c) for c in columns])
-    return {c: (v[0] if v[0] is not None else 0.0) for c, v in percentile_values(values, columns, [0.5]).items()}
+    return {c: (v[0] if v[0] is not None else 0.0) for c, v in percentile_values(values, columns, [0.5], stored=stored).items()}
 
 
 def impute(df: DataFrame, columns: Sequence[str], fill: dict[str, float] | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def scaled_vector_stages(train: DataFrame, columns: Sequence[str], output: str,
                          fill: dict[str, float] | None = None) -> list[Transformer]:
     """Impute and standardise in one SQL stage, then assemble."""
     train = reusable(train.select(*[q(c) for c in columns]))
-    fill = fill or medians(train, columns)
+    fill = fill or medians(train, columns, stored=True)
     fitted = scale_values(impute(train, columns, fill), columns)
     names = {f"{c}__z": f"(coalesce({_finite_sql(c)}, {_number(fill[c])}) - {_number(fitted[c][0])}) / {_number(fitted[c][1])}"
              for c in columns}
@@ -185,7 +185,7 @@ def hybrid_space(train: DataFrame, targeted: Sequence[str], pool: Sequence[str],
                  output: str = "features") -> list[Transformer]:
     """Targeted columns bypass the reduction; the rest goes through ``k`` components."""
     train = reusable(train.select(*[q(c) for c in [*targeted, *pool]]))
-    fill = medians(train, [*targeted, *pool])
+    fill = medians(train, [*targeted, *pool], stored=True)
     stages, _ = pca_stages(train, pool, min(k, len(pool)), fill=fill)
     bypass = raw_space(train, targeted, "targeted", fill)
     return [*stages, *bypass, VectorAssembler(inputCols=["targeted", "pca"], outputCol=output)]
