@@ -1,17 +1,16 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted similarity."""
+"""Benchmark decontamination: item-sized windows, candidates by their rarest shingles, exact weighted similarity."""
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import text_key
 from flowlens.session import materialize
 
-BITS, BLOCKS = 64, 4
-PART = BITS // BLOCKS
+BITS = 64
 
 
 def _words(text: Column) -> Column:
@@ -27,15 +26,26 @@ def _shingles(words: Column, run: int) -> Column:
 
 
 def _simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys -> ``b0`` .. (blocks of the fingerprint as int), ``total`` weight, from distinct (keys, h, weight)."""
-    sums = rows.groupBy(*keys).agg(F.sum("weight").alias("total"), *(
+    """keys -> ``print``, the fingerprint as a long, from distinct (keys, h, weight)."""
+    sums = rows.groupBy(*keys).agg(*(
         F.expr(f"sum(if(shiftright(h, {bit}) & 1 = 1, weight, -weight))").alias(f"s{bit}") for bit in range(BITS)))
-    block = lambda n: F.expr(" + ".join(f"if(s{n * PART + bit} > 0, {1 << bit}, 0)" for bit in range(PART)))
-    return sums.select(*keys, "total", *(block(n).alias(f"b{n}") for n in range(BLOCKS)))
+    return sums.select(*keys, F.expr(" | ".join(f"if(s{bit} > 0, shiftleft(1L, {bit}), 0L)" for bit in range(BITS))).alias("print"))
+
+
+def _rarest(rows: DataFrame, keys: list[str], total: str, percent: int) -> DataFrame:
+    """The rarest (heaviest) shingles of each set (keys, h, weight, total): a partner of ``percent`` similarity shares one of them.
+
+    ``rest`` is the weight of the set's shingles from this one on. All sets
+    order their shingles alike, so at the first one that two sets share, both
+    ``rest`` bound the shared weight.
+    """
+    order = Window.partitionBy(*keys).orderBy("weight", "h").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("rest", F.sum("weight").over(order)).where(F.col("rest") * 100 >= F.col(total) * percent) \
+        .select(*keys, "h", total, "rest")
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                   item_text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int = 15) -> DataFrame:
+                   item_text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Where documents hold benchmark items: ``doc_id``, ``item_id``, ``start``, ``n_words``, ``distance``, ``similarity``.
 
     One row for each input row and item with a qualifying window, its best one
@@ -49,22 +59,22 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
        similarity shares most shingles with its item, so windows are opened
        where a shared shingle puts the item's beginning. All words of all
        texts take part; only windows that cannot qualify are never built.
-    3. Every window and item gets a 64-bit SimHash of its weighted shingles.
-       Four blocks of 16 bits: fingerprints within ``radius`` agree up to
-       ``radius // 4`` bits in one block, and items are indexed under all
-       those variants. So the block join proposes every item of the window's
-       length within the radius, and no others pass the count of bits.
+    3. A window whose shingles are too light without those of no item cannot
+       qualify. Of the others and of the items, the rarest shingles are kept
+       that a partner must touch (`_rarest`); a window and an item of its
+       length that meet there, and have weight enough from there on, are a
+       pair. No pair that qualifies is missed, whatever the weights.
     4. The weighted Jaccard similarity of the shingle sets decides.
 
-    At similarity 0.8 the fingerprints differ by 10 bits on average, with a
-    deviation below 3; a radius of 15 keeps 96 of 100 such windows and all but
-    a few in a million from 0.9 on.
+    ``distance`` is the number of bits in which the 64-bit SimHashes of the
+    weighted shingles of the window and the item differ. It selects nothing: at
+    similarity 0.8 it spreads too far for a radius, most of all where few heavy
+    shingles stand against many light ones.
 
     NULL and empty texts hold nothing, NULL and empty items are never found;
     NULL and repeated ids of either table are returned as they are, repeated
     rows as often as they stand. Texts are known by SHA-256, so copies are
-    searched once. Other columns are not read. The index holds 2,788 rows for
-    each item; it is joined, never broadcast by force.
+    searched once. Other columns are not read. Nothing is broadcast by force.
     """
     items = materialize(benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text"))
                         .withColumn("item", text_key(F.col("text"))).withColumn("w", _words(F.col("text"))).where("size(w) > 0")
@@ -96,27 +106,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         .select("key", "run", "all", F.explode("windows").alias("x"))
         .select("key", "run", "x.n", "x.start", F.explode(F.array_distinct(F.slice(
             "all", F.col("x.start") + 1, F.greatest(F.col("x.n") - run + 1, F.lit(1))))).alias("h")) for run in runs])
-    content = materialize(content.join(common, ["run", "h"], "left").withColumn("weight", F.coalesce("weight", weight(F.lit(1)))))
+    content = materialize(content.join(common, ["run", "h"], "left").withColumn("known", F.col("weight").isNotNull())
+                          .withColumn("weight", F.coalesce("weight", weight(F.lit(1)))))
     place = ["key", "run", "n", "start"]
-    prints = _simhash(content, place)
-    blocks = lambda side: F.explode(F.array(*(F.struct(F.lit(n).alias("block"), F.col(f"b{n}").alias("value")) for n in range(BLOCKS)))).alias(side)
-    bits = [f"b{n}" for n in range(BLOCKS)]
+    likely = content.groupBy(*place).agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("known"), F.col("weight"))).alias("most")) \
+        .where(F.col("most") * 100 >= F.col("total") * percent).drop("most")
+    alive = materialize(content.where("known").join(likely, place).select(*place, "h", "weight", "total"))
     once = held.select("item", "n", "run", "h", "weight").distinct()
-    item_prints = _simhash(once, ["item", "n", "run"])
-    masks = F.expr(f"array({', '.join(str(m) for m in range(1 << PART) if m.bit_count() <= radius // BLOCKS)})")
-    index = item_prints.select("item", "n", "run", F.col("total").alias("item_total"), *(F.col(b).alias(f"i{b}") for b in bits), blocks("x")) \
-        .withColumn("mask", F.explode(masks)).withColumn("value", F.col("x.value").bitwiseXOR(F.col("mask"))) \
-        .withColumn("block", F.col("x.block")).drop("x", "mask")
-    proposed = prints.select("*", blocks("x")).select(*place, "total", *bits, "x.block", "x.value").join(index, ["n", "run", "block", "value"])
-    distance = functools.reduce(lambda a, b: a + b, (F.bit_count(F.col(b).bitwiseXOR(F.col(f"i{b}"))) for b in bits))
-    pairs = proposed.withColumn("distance", distance).where(F.col("distance") <= radius) \
-        .select(*place, "item", "total", "item_total", "distance").distinct()
-    shared = pairs.join(content, place).join(once.select("item", "run", "h"), ["item", "run", "h"]) \
-        .groupBy(*place, "item", "total", "item_total", "distance").agg(F.sum("weight").alias("both"))
+    totals = once.groupBy("item").agg(F.sum("weight").alias("item_total"))
+    left = _rarest(alive, place, "total", percent)
+    right = _rarest(once.join(totals, "item"), ["item", "n", "run"], "item_total", percent).withColumnRenamed("rest", "item_rest")
+    pairs = left.join(right, ["n", "run", "h"]).where(
+        F.least("rest", "item_rest") * (100 + percent) >= (F.col("total") + F.col("item_total")) * percent) \
+        .select(*place, "item", "total", "item_total").distinct()
+    shared = pairs.join(alive.drop("total"), place).join(once.select("item", "run", "h"), ["item", "run", "h"]) \
+        .groupBy(*place, "item", "total", "item_total").agg(F.sum("weight").alias("both"))
     similarity = F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))
-    best = shared.withColumn("similarity", F.round(similarity, 9)).where(
-        F.col("both") * 100 >= (F.col("total") + F.col("item_total") - F.col("both")) * percent) \
-        .groupBy("key", "item").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n", "distance")).alias("m")) \
-        .select("key", "item", "m.start", F.col("m.n").alias("n_words"), "m.distance", (-F.col("m.s")).alias("similarity"))
+    best = materialize(shared.withColumn("similarity", F.round(similarity, 9)).where(
+        F.col("both") * 100 >= (F.col("total") + F.col("item_total") - F.col("both")) * percent)
+        .groupBy("key", "item").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n", "run")).alias("m"))
+        .select("key", "item", "m.run", "m.n", "m.start", (-F.col("m.s")).alias("similarity")))
+    prints = _simhash(content.join(best.select(*place).distinct(), place), place)
+    item_prints = _simhash(once.join(best.select("item").distinct(), "item"), ["item"]).withColumnRenamed("print", "item_print")
+    best = best.join(prints, place).join(item_prints, "item") \
+        .select("key", "item", "start", F.col("n").alias("n_words"),
+                F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("distance"), "similarity")
     return base.select("doc_id", "key").join(best, "key").join(items.select("item_id", "item"), "item") \
         .select("doc_id", "item_id", "start", "n_words", "distance", "similarity")

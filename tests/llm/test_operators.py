@@ -204,6 +204,24 @@ def test_benchmark(spark, docs, nothing):
     assert find_benchmark(nothing, items).count() == 0 and find_benchmark(docs, items.limit(0)).count() == 0
 
 
+def test_benchmark_near_threshold(spark, folder):
+    """Items of one template and items of their own, each in a text with a word changed: similarity 0.80 to 0.83."""
+    import duckdb
+    from flowlens.llm.queries import ORACLES, QUERIES
+    template = " ".join(f"t{j}" for j in range(44))
+    items = [f"{template} a{i} b{i} c{i}" for i in range(200)] + [" ".join(f"x{i}y{j}" for j in range(44)) for i in range(200)]
+    texts = [f"{template} a{i} b{i} other" for i in range(200)]
+    texts += [" ".join("other" if j == 40 else f"x{i}y{j}" for j in range(44)) for i in range(200)]
+    con = duckdb.connect()
+    for name, column, rows in (("benchmark", "item_id", items), ("documents", "doc_id", texts)):
+        spark.createDataFrame(list(enumerate(rows)), f"{column} long, text string").write.parquet(f"{folder}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    got = QUERIES["op6_benchmark"](spark, folder)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(400)}
+    assert all(0.8 <= r["similarity"] < 0.83 for r in got.collect())
+    assert compare(got, con, ORACLES["op6_benchmark"]) == ""
+
+
 def test_chat(spark):
     from flowlens.llm.chat import Param, link
     calls = spark.createDataFrame([(1, 0, "a", "f", '{"b": 1, "a": {"z":1,"y":2}}'), (1, 2, "b", "f", '{"a": "${a}", "b": "x"}'), (1, 3, "c", "g", "no"),
