@@ -49,6 +49,17 @@ def errors(arguments: Column, name: Column, tools: dict[str, tuple[Param, ...]])
     return F.when(arguments.isNull(), F.array(F.lit("no JSON"))).otherwise(F.coalesce(checks, F.array(F.lit("no object"))))
 
 
+def _quoted(c: Column) -> Column:
+    """A value as JSON; ``null`` for NULL."""
+    return F.coalesce(F.to_json(F.try_parse_json(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))), F.lit("null"))
+
+
+def _object(parts: list[tuple[str, Column]]) -> Column:
+    """A JSON object of names and written values."""
+    body = functools.reduce(lambda a, b: F.concat(a, F.lit(","), b), (F.concat(F.lit(f'"{k}":'), v) for k, v in parts))
+    return F.concat(F.lit("{"), body, F.lit("}"))
+
+
 def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv, id, level): 0 without known references, else one more than the highest reference; calls in or behind a cycle are missing.
 
@@ -109,15 +120,12 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, tuple[Param, ...
     both = both.withColumn("wrong", wrong)
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("level").isNull(), "cycle") \
         .when(F.size("wrong") > 0, "invalid").when(F.col("answered").isNull(), "open").otherwise("ok")
-    quoted = lambda c: F.coalesce(F.to_json(F.try_parse_json(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))),
-                                  F.lit("null"))
-    parts = [("arguments", F.coalesce(F.to_json("variant"), quoted(F.col("arguments")))), ("conversation", quoted(F.col("conv"))),
-             ("id", quoted(F.col("id"))), ("level", F.coalesce(F.col("level").cast("string"), F.lit("null"))),
-             ("name", quoted(F.col("name"))), ("result", quoted(F.col("text"))), ("status", F.concat(F.lit('"'), F.col("status"), F.lit('"')))]
-    body = functools.reduce(lambda a, b: F.concat(a, F.lit(","), b), (F.concat(F.lit(f'"{k}":'), v) for k, v in parts))
+    parts = [("arguments", F.coalesce(F.to_json("variant"), _quoted(F.col("arguments")))), ("conversation", _quoted(F.col("conv"))),
+             ("id", _quoted(F.col("id"))), ("level", F.coalesce(F.col("level").cast("string"), F.lit("null"))),
+             ("name", _quoted(F.col("name"))), ("result", _quoted(F.col("text"))), ("status", F.concat(F.lit('"'), F.col("status"), F.lit('"')))]
     return both.withColumn("status", status).select(
         "conv", "id", "level", "call_turn", "result_turn", "status", F.coalesce(F.array_join("wrong", ","), F.lit("")).alias("errors"),
-        F.concat(F.lit("{"), body, F.lit("}")).alias("json"))
+        _object(parts).alias("json"))
 
 
 #: Tool of the dialogue form: a user's turn calls it, the assistant's next turn is the result.
@@ -139,3 +147,22 @@ def from_dialogue(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("turn") >= 2, F.concat(F.lit("${"), name(half), F.lit("}"))).alias("after"))).alias("arguments"))
     results = base.where("role = 'assistant'").select("conv", "turn", name(F.col("turn") - 1).alias("id"), "text")
     return calls, results
+
+
+def other_turns(messages: DataFrame) -> DataFrame:
+    """The turns that `from_dialogue` does not take (any other role or none), one row each, in the columns of `link`.
+
+    ``status`` is ``context``, ``call_turn`` the turn; role and text stand in the JSON.
+    """
+    other = messages.where("role is null or role not in ('user', 'assistant')")
+    name = F.concat_ws(":", F.col("conv_id"), F.col("turn"))
+    parts = [("conversation", _quoted(F.col("conv_id"))), ("id", _quoted(name)), ("role", _quoted(F.col("role"))),
+             ("status", F.lit('"context"')), ("text", _quoted(F.col("text"))), ("turn", _quoted(F.col("turn")))]
+    return other.select(F.col("conv_id").alias("conv"), name.alias("id"), F.lit(None).cast("int").alias("level"), F.col("turn").alias("call_turn"),
+                        F.lit(None).cast(messages.schema["turn"].dataType).alias("result_turn"), F.lit("context").alias("status"),
+                        F.lit("").alias("errors"), _object(parts).alias("json"))
+
+
+def dialogue(messages: DataFrame) -> DataFrame:
+    """Plain conversations as one result: the exchanges of `link` and all other turns."""
+    return link(*from_dialogue(messages), DIALOGUE).unionByName(other_turns(messages))

@@ -237,6 +237,28 @@ def test_chat(spark):
     assert link(calls.limit(0), results.limit(0), {"f": ()}).count() == 0
 
 
+def test_dialogue_keeps_every_turn(spark):
+    from flowlens.llm.chat import dialogue
+    rows = [(1, 0, "system", 'be "brief"'), (1, 1, "user", "a b"), (1, 2, "assistant", "c"), (1, 3, "tool", None), (1, 4, None, "d"),
+            (1, 5, "user", "e"), (2, 1, "assistant", "f"), (None, None, "system", "g")]
+    got = dialogue(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    turns = [(r["conv"], r["call_turn"]) for r in got if r["status"] != "orphan"]
+    turns += [(r["conv"], r["result_turn"]) for r in got if r["result_turn"] is not None]
+    assert collections.Counter(turns) == collections.Counter(r[:2] for r in rows)
+    assert collections.Counter(r["status"] for r in got) == {"context": 4, "ok": 1, "invalid": 1, "orphan": 1}
+    assert {r["json"] for r in got if r["status"] == "context" and r["call_turn"] in (0, 3)} == {
+        '{"conversation":1,"id":"1:0","role":"system","status":"context","text":"be \\"brief\\"","turn":0}',
+        '{"conversation":1,"id":"1:3","role":"tool","status":"context","text":null,"turn":3}'}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
+def test_every_turn_of_the_table(spark):
+    from flowlens.llm.chat import dialogue
+    messages = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    got = dialogue(messages).selectExpr("count_if(status <> 'orphan') + count(result_turn)").first()[0]
+    assert got == messages.count()
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 def test_pipeline(spark):
     import corpus_pipeline
