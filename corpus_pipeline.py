@@ -27,15 +27,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Rows that repeat a doc_id: one of them, the least text."""
+    """One document of each group: the one with the smallest doc_id. Different texts of a repeated doc_id are documents of their own."""
     prepare(spark)
-    found = near.near_duplicates(docs)
-    dropped = materialize(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone")).distinct())
+    found = near.near_duplicates(docs, parts=True)
+    dropped = materialize(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone"), F.col("part").alias("text_gone")).distinct())
     repeated = docs.groupBy(F.col("doc_id").alias("again")).count().where("again is not null and count > 1").select("again")
-    left = docs.join(dropped, docs["doc_id"] == dropped["gone"], "left_anti")
-    least = left.join(repeated, left["doc_id"] == repeated["again"], "left_semi").groupBy("doc_id") \
-        .agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row")) \
-        .select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+    left = docs.join(dropped, (docs["doc_id"] == dropped["gone"]) & (near.part(docs["text"]) == dropped["text_gone"]), "left_anti")
+    least = left.join(repeated, left["doc_id"] == repeated["again"], "left_semi").groupBy("doc_id", "text") \
+        .agg(F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row")) \
+        .select(*(F.col(c) if c in ("doc_id", "text") else F.col("row")[c].alias(c) for c in docs.columns))
     return left.join(repeated, left["doc_id"] == repeated["again"], "left_anti").unionByName(least)
 
 

@@ -25,8 +25,8 @@ def _sketched(shingle: int, k: int):
                 keys.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
                 sketches.append(found[:k])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), hashing.lists(sketches, pa.int64())],
-                names=["doc_id", "n", "key", "sketch"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), hashing.lists(sketches, pa.int64())],
+                names=["doc_id", "part", "n", "key", "sketch"])
     return run
 
 
@@ -153,12 +153,18 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         .where(F.col("both") * 100 >= (F.size("fa") + F.size("fb") - F.col("both")) * percent).select("a", "b")
 
 
+def part(text: Column) -> Column:
+    """Tells the texts of a repeated id apart."""
+    return F.xxhash64(text.cast("binary"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-                    k: int = 64, turns: int = 2, crowd: int = 16) -> DataFrame:
+                    k: int = 64, turns: int = 2, crowd: int = 16, parts: bool = False) -> DataFrame:
     """Groups of documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
 
     One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the
-    smallest id that links reach), ``kept`` (doc_id = component_id).
+    smallest id that links reach), ``kept`` (the document is the group's first
+    by id and text hash), and with ``parts`` the text hash ``part``.
 
     Words are runs without white space, A-Z lowered; a set holds the distinct
     runs of ``shingle`` words, or all words as one run if there are fewer.
@@ -166,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass hashes every text: set size, digest of the word sequence and
        sketch, the ``k`` smallest values of the set. Texts with equal word
-       sequences are one class, named by its smallest id; only classes go on.
+       sequences are one class, named by a number; only classes go on.
     2. Inverted lists of sketch values (`_prefixes`) bring classes together.
     3. For some ``turns`` each class of a list meets one hub (`_to_hubs`).
        Pairs pass the size proportion, the union sketch's estimate and the
@@ -181,18 +187,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     NULL or empty texts have no shingles and link with nothing; so do rows
     with a NULL id, which get a NULL component and are not kept. Rows that
     repeat an id and its text are one document. If an id stands on different
-    texts, each row has its own text's component, and classes with the same
-    smallest id count as linked. Other columns are not read. Long texts are
+    texts, each is a document of its own with its own text's component; two
+    groups can then have the same smallest id, one kept document each. Other columns are not read. Long texts are
     hashed whole; work per text is linear but for sorting its set.
     """
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    rows = materialize(base.mapInArrow(_sketched(shingle, k), "doc_id long, n long, key binary, sketch array<long>"))
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"), part(docs[text_col]).alias("part"))
+    rows = materialize(base.mapInArrow(_sketched(shingle, k), "doc_id long, part long, n long, key binary, sketch array<long>"))
     usable = rows.where("doc_id is not null and n > 0")
-    classes = usable.groupBy("key").agg(F.min("doc_id").alias("id"))
-    sketches = materialize(usable.join(classes, "key").where("doc_id = id").select("id", "n", "sketch").dropDuplicates(["id", "sketch"]))
+    classes = materialize(usable.groupBy("key").agg(F.min(F.struct("doc_id", "part")).alias("first"))
+                          .select("key", "first.*", F.monotonically_increasing_id().alias("id")))
+    sketches = materialize(usable.join(classes, ["key", "doc_id", "part"]).select("id", "n", "sketch").dropDuplicates(["id"]))
     lists = materialize(_prefixes(sketches, percent, k))
-    suspects = lists.select("id").distinct()
-    sets = materialize(base.join(suspects, base["doc_id"] == suspects["id"], "left_semi").dropDuplicates(["doc_id"])
+    suspects = lists.select("id").distinct().join(classes, "id").select("id", "doc_id", "part")
+    sets = materialize(base.join(suspects, ["doc_id", "part"]).select("id", "text").dropDuplicates(["id"])
                        .mapInArrow(_sets(shingle), "id long, all array<long>"))
 
     def with_components(found: DataFrame) -> DataFrame:
@@ -214,9 +221,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = _across(grouped.where(F.col("size") <= crowd).withColumn("rest", F.col("n")), percent) \
         .unionByName(_across(_full_lists(crowded, sets, percent), percent)).distinct()
     found = components(links.unionByName(materialize(_confirmed(last, sketches, sets, percent, k))))
-    named = classes.join(found, classes["id"] == found["node"], "left") \
-        .select("key", F.coalesce("component", "id").alias("component"))
-    return rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left").select(
+    members = classes.join(found, classes["id"] == found["node"]).select("key", "doc_id", "part", "component")
+    roots = members.groupBy("component").agg(F.min(F.struct("doc_id", "part")).alias("root"))
+    linked = members.join(roots, "component").select("key", "root")
+    named = classes.join(linked, "key", "left").select("key", F.coalesce("root", F.struct("doc_id", "part")).alias("root"))
+    own, root = F.struct("doc_id", "part"), F.col("root")
+    return rows.select("doc_id", "part", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept"))
+        F.coalesce(root["doc_id"], "doc_id").alias("component_id"),
+        F.when(root.isNull(), F.col("doc_id").isNotNull()).otherwise(own == root).alias("kept"), *(["part"] if parts else []))

@@ -78,6 +78,27 @@ def test_near_duplicates(docs, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark, folder):
+    import corpus_pipeline
+    from flowlens.llm.near import near_duplicates
+    texts = [f"{' '.join(rng.choice(VOCABULARY, 60))} end" for _ in range(40)]
+    near = [" ".join(["other", *t.split()[1:]]) for t in texts]
+    # id 1000 stands on all texts; some have a near copy with a smaller id, some with a larger one, some with the same
+    rows = [(1000, t, "en", "a", 1) for t in texts] + [((i, 2000 + i, 1000, 3000 + i)[i % 4], t, "en", "a", 1) for i, t in enumerate(near) if i < 32]
+    rows += [(1000, texts[0].upper(), "en", "a", 1), rows[39]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = near_duplicates(docs).collect()
+    groups = collections.Counter((r["component_id"], r["kept"]) for r in got)
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["component_id"] != 1000} == {p for i in range(0, 32, 4) for p in ((i, i), (1000, i))}
+    assert sum(n for (c, kept), n in groups.items() if kept) == 41   # 40 groups, and a row that stands twice
+    left = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect())
+    first = {}
+    for doc, text, *_ in rows:
+        words = " ".join(text.lower().split()[1:])
+        first[words] = min(first.get(words, doc), doc)
+    assert sorted((" ".join(t.lower().split()[1:]), d) for d, t in left) == sorted(first.items())
+
+
 def test_vectors(spark):
     from flowlens.llm.lattice import decode, near_vectors
     points = rng.normal(size=(200, 8))
