@@ -60,7 +60,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("benchmark", benchmark_free), ("mixing", mixed), ("sharding", sharded)]
 
-#: No SQL has the lexicon of the first stage; tests hold the stages against brute force.
+#: No SQL has the lexicon of the first stage; a test holds the rows of every stage of run() against plain Python.
 ORACLE_SQL = None
 
 

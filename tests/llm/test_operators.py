@@ -287,3 +287,63 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() > 100
+
+
+def test_pipeline_rows(spark, folder, monkeypatch):
+    """run() over planted documents: the rows of every stage against plain Python."""
+    import corpus_pipeline
+    from flowlens.llm.sharding import SHARDS, SLOTS, lookup_table
+    words = lambda n: " ".join(rng.choice(VOCABULARY, n))
+    plain = {i: words(40) + (" blorgen zarf" if i % 4 == 0 else "") for i in range(280)}
+    items = [words(30) for _ in range(6)]
+    texts = plain | {1000 + i: plain[i] for i in range(40)} | {2000 + i: " ".join(["other", *plain[i].split()[1:]]) for i in range(20, 60)}
+    texts |= {3000 + i: f"{words(10)} {item} {words(10)}" for i, item in enumerate(items)}
+    texts |= {3100 + i: f"{words(10)} {' '.join(item.split()[:-1])} changed {words(5)}" for i, item in enumerate(items)}
+    rows = [(i, t, "en", (None, "a", "b")[i % 3], len(t)) for i, t in texts.items()]
+    for name, data, schema in (("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"),
+                               ("labels", [(i, 1, int(i % 4 == 0)) for i in plain], "doc_id long, quality int, toxic int"),
+                               ("benchmark", list(enumerate(items)), "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    seen = []
+    recorded = lambda stage: lambda session, docs, path: (seen.append(docs), stage(session, docs, path))[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, recorded(stage)) for name, stage in corpus_pipeline.STAGES])
+    last = corpus_pipeline.run(spark, folder)
+    wanted = [r for r in rows if "blorgen" not in r[1]]
+    assert sorted(map(str, map(tuple, seen[1].collect()))) == sorted(map(str, wanted)) and len(wanted) < len(rows)
+    first = {}
+    for r in sorted(wanted):
+        first.setdefault(tuple(r[1].split()[1:]), r)
+    assert sorted(map(str, map(tuple, seen[2].collect()))) == sorted(map(str, first.values())) and len(first) < len(wanted)
+    clean = [r for r in first.values() if r[0] < 3000]
+    assert sorted(map(str, map(tuple, seen[3].collect()))) == sorted(map(str, clean)) and len(clean) == len(first) - 12
+    # the mix: level filling, Sainte-Lague over blocks of 32 words, one shard for each of these small sources
+    order, weight = ["a", "b", None], {"a": 3, "b": 1, None: 2}
+    size = {s: sum(len(r[1].split()) for r in clean if r[3] == s) for s in order}
+    assert max(size.values()) <= 4096
+    total, capped = 1.5 * sum(size.values()), set()
+    while True:
+        rest = total - sum(2 * size[s] for s in capped)
+        target = {s: 2 * size[s] if s in capped else rest * weight[s] / sum(weight[o] for o in order if o not in capped) for s in order}
+        over = {s for s in order if target[s] > 2 * size[s]}
+        if not over:
+            break
+        capped |= over
+    quota = dict.fromkeys(order, 0)
+    for _ in range(int(sum(target.values()) / 32 + 0.5)):
+        quota[max(order, key=lambda s: target[s] / (2 * quota[s] + 1))] += 1
+    seeded = lambda seed, i: int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:15], 16)
+    mixed = []
+    for s in order:
+        blocks = -(-size[s] // 32)
+        passes, more = divmod(min(quota[s], 2 * blocks), blocks)
+        start = 0
+        for r in sorted((r for r in clean if r[3] == s), key=lambda r: (seeded("mix", r[0]), r[0])):
+            n = len(r[1].split())
+            mixed += [r] * int((n * passes + max(min(n, more * 32 - start), 0)) / n + 0.5)
+            start += n
+    assert sorted(map(str, map(tuple, seen[4].collect()))) == sorted(map(str, mixed)) and len(mixed) > len(clean)
+    names = [f"shard-{i:03d}" for i in range(SHARDS)]
+    table = lookup_table(names)
+    sharded = [(r[0], r[1], seeded("shards", r[0]) % SLOTS) for r in mixed]
+    got = sorted((r["doc_id"], r["text"], r["slot"], r["shard"]) for r in last.collect())
+    assert got == sorted((*r, names[table[r[2]]]) for r in sharded)
