@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op4_sharding")
 def op4(table) -> DataFrame:
-    return sharding.place(table("documents").select("doc_id"))
+    return sharding.place(table("documents"))
 
 
 @query("op7_mixing")

@@ -171,6 +171,14 @@ def test_sharding(docs, nothing):
         assert (r["slot"], r["shard"]) == (slot, names[table[slot]])
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
+def test_sharding_places_documents(spark):
+    from flowlens.llm.queries import QUERIES
+    documents, got = spark.read.parquet(f"{FOLDER}/documents.parquet"), QUERIES["op4_sharding"](spark, FOLDER)
+    assert got.columns == [*documents.columns, "slot", "shard"]
+    assert got.select(*documents.columns).exceptAll(documents).count() == 0 and got.count() == documents.count()
+
+
 def test_toxicity(spark, docs, nothing):
     from flowlens.llm import toxicity
     assert toxicity.fold("Ïd1öt, іdiot!") == " idiot idiot "
