@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, lattice, lines, mixing, near, rollup, secrets, sharding, toxicity
+from flowlens.llm import chat, decontaminate, divergence, lattice, lines, mixing, near, rollup, search, secrets, sharding, toxicity, urls
 from flowlens.llm.common import text_key
 from flowlens.session import materialize, prepare, work_dir
 
@@ -176,3 +176,55 @@ SELECT conv_id AS conv, conv_id || ':' || called AS id, level, call_turn, result
 @query("op1_chat", CHAT_SQL)
 def op1(table) -> DataFrame:
     return chat.link(*chat.from_dialogue(table("conversations")), chat.DIALOGUE)
+
+
+AUDIT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (SELECT g.lang, g.source, k.term, k.n AS everywhere, count(w.doc) AS n FROM g JOIN k USING (lang) LEFT JOIN w USING (lang, source, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT lang, source, term, c.n, 1 + (1000000000::HUGEINT * (c.n + 1)) // (t.n + v.v)::HUGEINT AS p,
+  1 + (1000000000::HUGEINT * (everywhere + 1)) // (v.n + v.v)::HUGEINT AS q FROM c JOIN t USING (lang, source) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+y AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM x UNION ALL SELECT * FROM y)
+QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query("op11_divergence", AUDIT_SQL)
+def op11(table) -> DataFrame:
+    return divergence.audit(table("documents"))
+
+
+SEARCH_SQL = r"""
+WITH i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms)) AS words FROM d WHERE len(terms) > 0),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term, docs),
+x AS (SELECT item_id, doc_id, row, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * len(terms) * docs) // words)::BIGINT))))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN f USING (term) JOIN d USING (row), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op12_search", SEARCH_SQL)
+def op12(table) -> DataFrame:
+    return search.search(table("documents"), table("benchmark"))
+
+
+#: The rules of the page filter.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op13_urls")
+def op13(table) -> DataFrame:
+    return urls.judge(table("pages"), URL_RULES)
