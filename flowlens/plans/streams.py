@@ -13,7 +13,7 @@ from flowlens.plans import adapters as a
 from flowlens.plans.operations import I, SLIDING, TUMBLING
 from flowlens.plans.registry import Tables, naive, query, rounded
 from flowlens.session import work_dir
-from flowlens.sources.store import read_incidents
+from flowlens.sources.store import read_incidents, read_table
 from flowlens.streaming import jobs
 
 _STREAM_COLUMNS = """campaign_id, attacker_ip, timestamp_start, timestamp_end, aggregated_events,
@@ -57,7 +57,7 @@ def stream_update(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "sliding")
     live = jobs.campaign_stream(a.incidents(streamed(t)), "1 day", "12 hours", 2)
     drain(jobs.upsert_campaigns(live, folder + "/table", folder + "/checkpoint", None))
-    return _campaign_columns(t.spark.read.parquet(folder + "/table"))
+    return _campaign_columns(read_table(t.spark, folder + "/table"))
 
 
 @query("j04_stream_append", f"""SELECT {_STREAM_COLUMNS} FROM camp
@@ -74,7 +74,7 @@ def tumbling_upsert(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "tumbling")
     live = jobs.campaign_stream(a.incidents(streamed(t)), "1 day", None, 2)
     drain(jobs.upsert_campaigns(live, folder + "/table", folder + "/checkpoint", None))
-    return _campaign_columns(t.spark.read.parquet(folder + "/table"))
+    return _campaign_columns(read_table(t.spark, folder + "/table"))
 
 
 def _scored_stream(t: Tables) -> DataFrame:

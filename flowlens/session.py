@@ -77,7 +77,22 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{work_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned, when nothing will read them or anything derived from them again."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            remove_path(table.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.clean import q
-from flowlens.sources.flows import path_exists
+from flowlens.sources.versions import VersionedTable
 
 
-def write_incidents(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp") -> None:
-    """One folder per micro-batch, partitioned by day: writing a batch again replaces it."""
-    df.withColumn("date", F.to_date(q(ts))).write.mode("overwrite").partitionBy("date").parquet(
-        f"{path}/batch_id={batch_id}")
+def write_incidents(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp", writer: str = "incidents") -> bool:
+    """Add a micro-batch to the incident table, by day; False if that batch of the writer is in it already."""
+    return VersionedTable(df.sparkSession, path).append(df, ts, (writer, batch_id))
 
 
-def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+def read_incidents(spark: SparkSession, path: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Incidents and their ``day``; only the folders of the asked days are read."""
+    return VersionedTable(spark, path).read(start, end)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current rows of a table that `upsert` writes."""
+    return VersionedTable(spark, path).read()
 
 
 def latest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
@@ -30,24 +36,13 @@ def latest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
     return newest.select(key, *[F.col("_row").getField(c).alias(c) for c in rest]).select(*[q(c) for c in df.columns])
 
 
-def upsert(df: DataFrame, path: str, key: str, version: str, day_of: str) -> None:
-    """Insert or replace rows by key in a table partitioned by day.
+def upsert(df: DataFrame, path: str, key: str, version: str, day_of: str, writer: tuple[str, int] | None = None) -> bool:
+    """Insert or replace rows by key in a table by day: what comes later counts, also if its ``version`` is lower.
 
-    Only the days present in ``df`` are read and rewritten; a row's day follows
-    from its key, so a key never moves between days. Replaying a batch gives the
-    same table.
+    ``version`` orders the rows of one key within ``df``. Replaying a batch
+    gives the same table; with ``writer`` (name, batch) it is not even written.
     """
-    spark = df.sparkSession
-    fresh = df.withColumn("day", F.to_date(q(day_of)))
-    merged = fresh
-    if path_exists(spark, path):
-        stored = spark.read.schema(fresh.schema).parquet(path)
-        # Bounded: the days that one micro-batch touches; as literals they prune partitions.
-        days = [r["day"] for r in fresh.select("day").distinct().collect()]
-        same = F.col("day").isin([d for d in days if d is not None])
-        merged = stored.filter(same | F.col("day").isNull() if None in days else same).unionByName(fresh)
-    latest_rows(merged, key, version).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return VersionedTable(df.sparkSession, path).upsert(df, key, day_of, version, writer)
 
 
 def expire(df: DataFrame, ts: str, now: Column, days: int = 30) -> DataFrame:
@@ -55,6 +50,17 @@ def expire(df: DataFrame, ts: str, now: Column, days: int = 30) -> DataFrame:
     return df.filter(q(ts) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
+def expire_table(spark: SparkSession, path: str, ts: str, now: Column, days: int = 30) -> int:
+    """Remove what is out of retention from a stored table, rows and files; the number of folders deleted.
+
+    Whole days are dropped by name, the day of the limit is rewritten without
+    its old rows, then the files that no version names are deleted.
+    """
+    table = VersionedTable(spark, path)
+    table.expire(ts, now - F.make_dt_interval(days=F.lit(days)))
+    return table.vacuum(kept=1)
+
+
 def append_report(df: DataFrame, path: str, prefix: str, run_ts: str) -> None:
     """Append one-run results as JSON payloads under their report kind."""
     df.select(F.lit(prefix).alias("prefix"), F.lit(run_ts).alias("run_ts"),

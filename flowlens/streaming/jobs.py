@@ -18,8 +18,10 @@ from flowlens.functions.times import millis_between, parse_iso
 from flowlens.models.detectors import score
 from flowlens.operators.clean import q
 from flowlens.operators.incidents import campaign_fields, threats, to_incident
-from flowlens.session import prepare
+from flowlens.session import prepare, remove_path
+from flowlens.sources.flows import path_exists
 from flowlens.sources.store import upsert, write_incidents
+from flowlens.sources.versions import VersionedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -51,7 +53,7 @@ def batch_counters(batch: DataFrame, p: str, threshold: float) -> list[Column]:
 
 METRICS = ("batch_id long, updated_at timestamp, run_id string, rows long, threats long, parse_failures long, "
            "rate_eps double, ingest_to_detect_ms_avg double, ingest_to_detect_ms_p95 double, ingest_to_write_ms_p95 double, "
-           "detect_to_write_ms double, write_errors long, stage_ms map<string,double>")
+           "detect_to_write_ms double, write_successes long, write_errors long, stage_ms map<string,double>")
 
 
 def _now() -> datetime:
@@ -62,33 +64,44 @@ def _millis(start: datetime, end: datetime) -> float:
     return (end - start).total_seconds() * 1000
 
 
+def _query_id(spark: SparkSession, default: str) -> str:
+    """Id of the running streaming query, the same after each restart; the default outside of one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or default
+
+
 def incident_writer(path: str, metrics_path: str | None, threshold: float, features: list[str], p: str = "p",
                     run_id: str = "", attempts: int = 3) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: threats of a scored batch to the incident table, one metrics row per batch.
 
-    The threats are scored into ``<path>_scored``, which the next batch
-    replaces; counters are observed on the way, so the batch runs once.
-    ``detect_ts`` is the time when that is done. ``write_ts`` of a document is
-    the time its writing starts; the metrics measure up to the commit. A write
-    is tried ``attempts`` times. All writes replace the batch's own folder: a
-    retry adds nothing.
+    The threats are scored into a staging folder of the query and batch, which
+    goes when the batch is done; counters are observed on the way, so the batch
+    runs once. ``detect_ts`` is the time when that is done. ``write_ts`` of a
+    document is the time its writing starts; the metrics measure up to the
+    commit. A write is tried ``attempts`` times. The commit names the query and
+    the batch, so a batch that is replayed after any of its steps is in the
+    table once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, started = batch.sparkSession, _now()
+        writer = _query_id(spark, "incidents")
+        metrics = f"{metrics_path}/batch_id_key={batch_id}"
+        if VersionedTable(spark, path).current().has((writer, batch_id)) and (not metrics_path or path_exists(spark, metrics)):
+            return
         arrived = F.coalesce("ingest_ts", F.lit(started)) if "ingest_ts" in batch.columns else F.lit(started)
         counters = Observation()
         seen = batch.withColumn("ingest_ts", arrived).observe(counters, *batch_counters(batch, p, threshold))
         scored = threats(seen, threshold, p)
-        scored.write.mode("overwrite").parquet(f"{path}_scored")
+        staged = f"{path}_scored/{writer}-{batch_id}"
+        scored.write.mode("overwrite").parquet(staged)
         detected = _now()
-        hits = spark.read.schema(scored.schema).parquet(f"{path}_scored").withColumn("detect_ts", F.lit(detected))
+        hits = spark.read.schema(scored.schema).parquet(staged).withColumn("detect_ts", F.lit(detected))
         absent = {c: F.lit(None).cast("string") for c in
                   ("threat_classification", "benchmark_run_id", "benchmark_profile", "source_ip", "destination_ip",
                    "target_port") if c not in hits.columns}
         for attempt in range(attempts):
             try:
                 stamped = hits.withColumn("write_ts", F.lit(_now()))
-                write_incidents(to_incident(stamped.withColumns(absent), features, threshold, p), path, batch_id)
+                write_incidents(to_incident(stamped.withColumns(absent), features, threshold, p), path, batch_id, writer=writer)
                 break
             except Exception:
                 if attempt + 1 == attempts:
@@ -100,10 +113,10 @@ def incident_writer(path: str, metrics_path: str | None, threshold: float, featu
                               F.percentile_approx(to_write, 0.95, 10_000)).first()
             c, total = counters.get, max(_millis(started, done), 1e-3)
             row = (batch_id, done, run_id, c["rows"], c["threats"], c["parse_failures"], c["rows"] / total * 1000, *delays,
-                   _millis(detected, done), attempt,
+                   _millis(detected, done), c["threats"], attempt,
                    {"score": _millis(started, detected), "write": _millis(detected, done), "batch": total})
-            spark.createDataFrame([row], METRICS).coalesce(1).write.mode("overwrite").parquet(
-                f"{metrics_path}/batch_id_key={batch_id}")
+            spark.createDataFrame([row], METRICS).coalesce(1).write.mode("overwrite").parquet(metrics)
+        remove_path(spark, staged)
 
     return write
 
@@ -144,13 +157,13 @@ def campaign_stream(incidents: DataFrame, window: str = "5 minutes", slide: str
 
 
 def upsert_campaigns(campaigns: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
-    """Live campaigns: each change of a window replaces the campaign's row.
+    """Live campaigns: each change of a window replaces the campaign's row, in one step for the whole batch.
 
-    Counts only grow, so the largest one is the newest and replays are harmless.
+    A later batch counts, whatever its numbers, and a replayed one is known by its query and number.
     """
-    def write(batch: DataFrame, _batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read twice below; without it the stateful plan would run twice
-        upsert(batch, path, "campaign_id", "aggregated_events", "timestamp_start")
+        upsert(batch, path, "campaign_id", "aggregated_events", "timestamp_start", (_query_id(batch.sparkSession, "campaigns"), batch_id))
         batch.unpersist()
 
     return _start(campaigns.writeStream.foreachBatch(write).outputMode("update"), checkpoint, every)

@@ -59,7 +59,7 @@ def test_update_stream_equals_batch(spark, folder):
     run(jobs.upsert_campaigns(jobs.campaign_stream(source, "1 hour", "30 minutes", 2, "1 day"),
                               f"{folder}/table", f"{folder}/cp", None))
     columns = ["campaign_id", "aggregated_events", F.round("confidence_score", 9), "threat_classification"]
-    got = spark.read.parquet(f"{folder}/table").select(*columns).collect()
+    got = store.read_table(spark, f"{folder}/table").select(*columns).collect()
     want = ops.campaigns(spark.read.parquet(src), "1 hour", "30 minutes", 2).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
@@ -72,7 +72,7 @@ def test_upsert_replay(spark, folder):
     store.upsert(rows(("a", 1, "2024-01-01"), ("b", 1, "2024-01-02")), table, "k", "n", "at")
     for _ in range(2):
         store.upsert(rows(("a", 5, "2024-01-01"), ("c", 2, "2024-01-01")), table, "k", "n", "at")
-    got = sorted((r["k"], r["n"]) for r in spark.read.parquet(table).collect())
+    got = sorted((r["k"], r["n"]) for r in store.read_table(spark, table).collect())
     assert got == [("a", 5), ("b", 1), ("c", 2)]
 
 
@@ -96,11 +96,11 @@ def test_stamps_follow_the_work(spark, folder, monkeypatch):
     failures = [OSError("first write fails")]
     plain = jobs.write_incidents
 
-    def flaky(*args):
+    def flaky(*args, **more):
         if failures:
             raise failures.pop()
         time.sleep(1)
-        plain(*args)
+        plain(*args, **more)
 
     monkeypatch.setattr(jobs, "write_incidents", flaky)
     scored = spark.createDataFrame([(0.5, 1.0)], "p double, bytes double").coalesce(1).withColumn("p", slow("p"))
