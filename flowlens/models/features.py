@@ -85,9 +85,9 @@ def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def scaled_vector_stages(train: DataFrame, columns: Sequence[str], output: str,
-                         fill: dict[str, float] | None = None) -> list[Transformer]:
-    """Impute and standardise in one SQL stage, then assemble."""
-    train = reusable(train.select(*[q(c) for c in columns]))
+                         fill: dict[str, float] | None = None, stored: bool = False) -> list[Transformer]:
+    """Impute and standardise in one SQL stage, then assemble. ``stored``: ``train`` is a written table."""
+    train = train if stored else reusable(train.select(*[q(c) for c in columns]))
     fill = fill or medians(train, columns, stored=True)
     fitted = scale_values(impute(train, columns, fill), columns)
     names = {f"{c}__z": f"(coalesce({_finite_sql(c)}, {_number(fill[c])}) - {_number(fitted[c][0])}) / {_number(fitted[c][1])}"
@@ -102,10 +102,10 @@ def sign_vector(model: PCAModel) -> list[float]:
 
 
 def pca_stages(train: DataFrame, columns: Sequence[str], k: int, output: str = "pca",
-               fill: dict[str, float] | None = None) -> tuple[list[Transformer], PCAModel]:
-    """Impute, standardise, project; the covariance is one distributed aggregate."""
-    train = reusable(train.select(*[q(c) for c in columns]))
-    stages = scaled_vector_stages(train, columns, f"{output}_in", fill)
+               fill: dict[str, float] | None = None, stored: bool = False) -> tuple[list[Transformer], PCAModel]:
+    """Impute, standardise, project; the covariance is one distributed aggregate. ``stored``: ``train`` is a written table."""
+    train = train if stored else reusable(train.select(*[q(c) for c in columns]))
+    stages = scaled_vector_stages(train, columns, f"{output}_in", fill, stored=True)
     scaled = PipelineModel(stages).transform(train).select(f"{output}_in")
     model = PCA(k=k, inputCol=f"{output}_in", outputCol=f"{output}_raw").fit(scaled)
     signs = ElementwiseProduct(scalingVec=Vectors.dense(sign_vector(model)), inputCol=f"{output}_raw", outputCol=output)
@@ -166,10 +166,10 @@ def sample_stability(df: DataFrame, key: str, columns: Sequence[str], sizes: dic
 
 
 def raw_space(train: DataFrame, columns: Sequence[str], output: str = "features",
-              fill: dict[str, float] | None = None) -> list[Transformer]:
-    """Imputed columns plus a missing flag for each column that has gaps in training."""
-    train = reusable(train.select(*[q(c) for c in columns]))
-    fill = fill or medians(train, columns)
+              fill: dict[str, float] | None = None, stored: bool = False) -> list[Transformer]:
+    """Imputed columns plus a missing flag for each column that has gaps in training. ``stored``: ``train`` is a written table."""
+    train = train if stored else reusable(train.select(*[q(c) for c in columns]))
+    fill = fill or medians(train, columns, stored=True)
     gaps = train.agg(*[F.max(finite(q(c)).isNull()).alias(str(i)) for i, c in enumerate(columns)]).first()
     names = {f"{c}__x": f"coalesce({_finite_sql(c)}, {_number(fill[c])})" for c in columns}
     names |= {f"{c}__gap": f"CAST(({_finite_sql(c)}) IS NULL AS DOUBLE)" for i, c in enumerate(columns) if gaps[str(i)]}
@@ -186,6 +186,6 @@ def hybrid_space(train: DataFrame, targeted: Sequence[str], pool: Sequence[str],
     """Targeted columns bypass the reduction; the rest goes through ``k`` components."""
     train = reusable(train.select(*[q(c) for c in [*targeted, *pool]]))
     fill = medians(train, [*targeted, *pool], stored=True)
-    stages, _ = pca_stages(train, pool, min(k, len(pool)), fill=fill)
-    bypass = raw_space(train, targeted, "targeted", fill)
+    stages, _ = pca_stages(train, pool, min(k, len(pool)), fill=fill, stored=True)
+    bypass = raw_space(train, targeted, "targeted", fill, stored=True)
     return [*stages, *bypass, VectorAssembler(inputCols=["targeted", "pca"], outputCol=output)]

@@ -140,12 +140,12 @@ def hotspots(incidents: DataFrame, now: Column, hours: int = 24, k: int = 8) ->
     return named.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def latency_stats(incidents: DataFrame, probs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Mean and exact percentiles of the three stage latencies."""
+def latency_stats(incidents: DataFrame, probs: tuple[float, ...] = (0.5, 0.95, 0.99), stored: bool = False) -> DataFrame:
+    """Mean and exact percentiles of the three stage latencies; ``stored`` as in `exact_percentiles`."""
     names = ["latency_ingest_to_detect_ms", "latency_ingest_to_write_ms", "latency_detect_to_write_ms"]
     rows = incidents.select(*latencies())
     means = rows.agg(*[F.avg(c).alias(c) for c in names]).unpivot([], names, "feature", "mean")
-    wide = exact_percentiles(rows, names, list(probs)).groupBy("feature").agg(*[
+    wide = exact_percentiles(rows, names, list(probs), stored=stored).groupBy("feature").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in probs])
     return means.join(F.broadcast(wide), "feature", "left").withColumnRenamed("feature", "stage")
 

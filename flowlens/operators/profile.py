@@ -113,8 +113,8 @@ def cardinality(df: DataFrame, columns: Sequence[str], approximate: bool = False
         "feature", F.coalesce("n", F.lit(0)).alias("distinct_values"))
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max per column."""
+def describe(df: DataFrame, columns: Sequence[str], stored: bool = False) -> DataFrame:
+    """count, mean, std, min, exact quartiles and max per column; ``stored`` as in `exact_percentiles`."""
     stats = [("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
     wide = df.agg(*[fn(q(c)).alias(f"{name}|{i}") for i, c in enumerate(columns) for name, fn in stats])
     cells = F.explode(F.array(*[
@@ -122,20 +122,21 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                  *[F.col(f"`{name}|{i}`").cast("bigint" if name == "n" else "double").alias(name)
                    for name, _ in stats]) for i, c in enumerate(columns)]))
     moments = wide.select(cells.alias("s")).select("s.*")
-    quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75]).groupBy("feature").agg(*[
+    quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75], stored=stored).groupBy("feature").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
         for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     # One row per column on both sides.
     return moments.join(F.broadcast(quartiles), "feature", "left")
 
 
-def outlier_ratio(df: DataFrame, columns: Sequence[str], first: int | None = 30, all_rows: bool = False) -> DataFrame:
+def outlier_ratio(df: DataFrame, columns: Sequence[str], first: int | None = 30, all_rows: bool = False,
+                  stored: bool = False) -> DataFrame:
     """Share outside 1.5 IQR fences (strict). An IQR of 0 gives 0.0.
 
     ``all_rows`` divides by every row and keeps the fences for IQR 0.
     """
     columns = list(columns)[:first] if first else list(columns)
-    bounds = percentile_values(df, columns, [0.25, 0.75])
+    bounds = percentile_values(df, columns, [0.25, 0.75], stored=stored)
     cells = []
     for c in columns:
         q1, q3 = bounds[c]
@@ -153,12 +154,12 @@ def outlier_ratio(df: DataFrame, columns: Sequence[str], first: int | None = 30,
     return unpivot_row(df.agg(*cells), columns, "outlier_ratio").filter("outlier_ratio is not null")
 
 
-def class_profiles(df: DataFrame, features: Sequence[str], label: str, k: int = 8) -> DataFrame:
+def class_profiles(df: DataFrame, features: Sequence[str], label: str, k: int = 8, stored: bool = False) -> DataFrame:
     """Median and 95th percentile of the features for the ``k`` largest classes."""
     classes = [r[label] for r in label_counts(df, label, k).collect()]
     named = [c for c in classes if c is not None]
     kept = F.coalesce(q(label).isin(*named), F.lit(None in classes))
-    stats = exact_percentiles(df.filter(kept), features, [0.5, 0.95], by=label)
+    stats = exact_percentiles(df.filter(kept), features, [0.5, 0.95], by=label, stored=stored)
     return stats.groupBy(q(label).alias(label), "feature").agg(
         F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("prob") == 0.95, F.col("value"))).alias("p95"))
@@ -232,10 +233,10 @@ def cohens_d(train: DataFrame, validation: DataFrame, columns: Sequence[str], k:
     return out.orderBy(F.desc(F.abs("cohens_d")), "feature").limit(k) if k else out
 
 
-def median_gap(df: DataFrame, columns: Sequence[str], label: str, k: int | None = 25) -> DataFrame:
+def median_gap(df: DataFrame, columns: Sequence[str], label: str, k: int | None = 25, stored: bool = False) -> DataFrame:
     """Gap between the attack and the benign median, relative to the benign one."""
     side = F.when(q(label).eqNullSafe(F.lit(BENIGN)), "benign").otherwise("attack")
-    medians = exact_percentiles(df.select(side.alias("_side"), *[q(c) for c in columns]), columns, [0.5], by="_side")
+    medians = exact_percentiles(df.select(side.alias("_side"), *[q(c) for c in columns]), columns, [0.5], by="_side", stored=stored)
     wide = medians.groupBy("feature").agg(
         F.max(F.when(F.col("_side") == "attack", F.col("value"))).alias("attack_median"),
         F.max(F.when(F.col("_side") == "benign", F.col("value"))).alias("benign_median"))
@@ -250,22 +251,26 @@ def _long(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
         F.col("x").isNotNull() & F.col("label").isNotNull())
 
 
-def levene(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def levene(df: DataFrame, features: Sequence[str], label: str, stored: bool = False) -> DataFrame:
     """Median-centred Levene statistic per feature.
 
     Groups that are empty, all zero or without variance are left out; at least
-    two must remain.
+    two must remain. Rows stay wide: each meets its class's medians, and one
+    aggregate by class sums up all features. ``stored`` as in `exact_percentiles`.
     """
-    medians = bounded_rows(exact_percentiles(df.filter(q(label).isNotNull()), features, [0.5], by=label))
-    table = df.sparkSession.createDataFrame(
-        [(r[label], r["feature"], r["value"]) for r in medians],
-        f"label {df.schema[label].dataType.simpleString()}, feature string, med double")
-    # Bounded: one row per class and feature, checked above.
-    centred = _long(df, features, label).join(F.broadcast(table), ["label", "feature"]).withColumn(
-        "z", F.abs(F.col("x") - F.col("med")))
-    groups = centred.groupBy("feature", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("z").alias("zm"), F.var_pop("z").alias("zv"),
-        F.var_pop("x").alias("xv"), F.max(F.abs("x")).alias("xmax"))
+    wide = df.filter(q(label).isNotNull()).select(q(label).alias("label"), *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    names = [f"x{i}" for i in range(len(features))]
+    medians = exact_percentiles(wide, names, [0.5], by="label", stored=stored).groupBy(F.col("label").alias("class")).agg(
+        *[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(f"m{i}") for i, n in enumerate(names)])
+    centred = wide.join(medians, F.col("label") == F.col("class"))
+
+    def sums(i: int) -> Column:
+        x, z = F.col(f"x{i}"), F.abs(F.col(f"x{i}") - F.col(f"m{i}"))
+        return F.struct(F.lit(features[i]).alias("feature"), F.count(x).alias("n"), F.avg(z).alias("zm"), F.var_pop(z).alias("zv"),
+                        F.var_pop(x).alias("xv"), F.max(F.abs(x)).alias("xmax"))
+
+    groups = centred.groupBy("label").agg(F.array(*[sums(i) for i in range(len(features))]).alias("s")).select(
+        "label", F.explode("s").alias("s")).select("label", "s.*")
     kept = groups.filter((F.col("xv") > 0) & (F.col("xmax") > 0))
     grand = kept.groupBy("feature").agg(
         (F.sum(F.col("n") * F.col("zm")) / F.sum("n")).alias("zg"))

@@ -1,86 +1,99 @@
-"""Exact percentiles (linear interpolation) by sketched brackets and a distributed rank."""
+"""Exact percentiles (linear interpolation) by bucket counts and a distributed rank."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.buckets import value_buckets
 from flowlens.operators.ordered import running_total
 from flowlens.session import materialize, reusable
 
-# Rank error of the sketch is a group's rows / ACCURACY.
-ACCURACY = 20_000
+
+#: Buckets are this part of their values wide, at most.
+ACCURACY = 256
+SIGN_AND_EXPONENT = 12
 
 
 def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: str | None = None,
                       accuracy: int = ACCURACY, stored: bool = False) -> DataFrame:
     """Rows ``(by?, feature, prob, value)``; NULL and NaN are skipped, infinities are ordered as values.
 
-    ``percentile`` keeps every distinct value of a group in one state. Here a
-    sketch brackets each wanted rank, one pass counts the rows below the bracket
-    and another ranks the few values inside it, for groups of any size and number.
-    A feature without values gets a NULL. ``stored`` tells that ``df`` is a
-    plain table, which is read three times; otherwise the columns are written first.
+    ``percentile`` keeps every distinct value of a group in one state. Here one
+    pass counts the values by their leading bits (`value_buckets`), which tells
+    the bucket of each wanted rank and how many values lie before it. If some
+    of these hold more than one value, a second pass ranks the few values of
+    those buckets, in ranges, for groups of any size and number; a bucket is
+    about 1 / ``accuracy`` of its values wide, which changes the work and not
+    the result. A feature without values gets a NULL. ``stored`` tells that
+    ``df`` is a plain scan of a table, which is then read twice; otherwise the
+    columns are written first.
     """
     columns, probs = list(columns), [float(p) for p in probs]
-    slots = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
     base = df.select((F.col(f"`{by}`") if by else F.lit("")).alias("_g"), *[
         F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"_v{i}") for i, c in enumerate(columns)])
     base = base if stored else reusable(base)
-    ends = [min(max(p + side * 4 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    brackets = materialize(base.groupBy("_g").agg(
-        F.array(*[F.count(f"_v{i}") for i in range(len(columns))]).alias("n"),
-        F.array(*[F.percentile_approx(f"_v{i}", ends, accuracy) for i in range(len(columns))]).alias("ends")))
-    ranges = brackets.withColumnRenamed("_g", "_key")
+    counts = value_buckets(base, "_g", [f"_v{i}" for i in range(len(columns))],
+                           SIGN_AND_EXPONENT + max(1, accuracy.bit_length() - 1))
+    whole = Window.partitionBy("_g", "i")
+    earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({"all": F.sum("n").over(whole), "below": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
+    # a wanted rank is slot 2j for the rank below a percentile, 2j + 1 for the one above
+    place = lambda j: (F.col("all") - 1) * F.lit(probs[j])
+    ranks = F.array(*[F.struct(F.lit(2 * j + side).alias("s"), end(place(j)).alias("rank"), place(j).alias("h"))
+                      for j in range(len(probs)) for side, end in enumerate((F.floor, F.ceil))])
+    inside = F.filter(ranks, lambda r: (F.col("below") <= r["rank"]) & (r["rank"] < F.col("below") + F.col("n")))
+    # the upper rank mostly lies in the bucket of the lower one, whose values then serve both
+    shared = F.exists("inside", lambda r: r["s"] == F.col("r.s") - 1) & (F.col("r.s") % 2 == 1)
+    first = F.col("i") * (2 * len(probs)) + F.col("r.s")
+    targets = materialize(placed.withColumn("inside", inside).where(F.size("inside") > 0).select("*", F.explode("inside").alias("r")).select(
+        "_g", first.alias("s"), F.when(shared, first - 1).otherwise(first).alias("of"), "low", "high",
+        (F.col("r.rank") - F.col("below")).alias("left"), F.col("r.h").alias("h")))
+    # buckets of one value need no second pass; the others are few: at most two for each column and percentile
+    several = F.col("low") < F.col("high")
+    slots = sorted(r[0] for r in targets.where(several).select("of").distinct().collect())
+    known = targets.where(~several).select(F.col("_g").alias("_key"), "s", "h", F.col("low").alias("v"))
+    if slots:
+        known = known.unionByName(_inside(base, targets.where(several), slots, 2 * len(probs), by))
+    side = lambda n: F.max(F.when(F.col("s") % 2 == n, F.col("v")))
+    known = known.groupBy("_key", F.floor(F.col("s") / 2).cast("int").alias("slot")).agg(side(0).alias("a"), side(1).alias("b"), F.max("h").alias("h"))
+    # As `percentile` interpolates, to the last bit.
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
+        (F.ceil("h") - F.col("h")) * F.col("a") + (F.col("h") - F.floor("h")) * F.col("b"))
+    every = base.select("_g").distinct() if by else base.sparkSession.range(1).select(F.lit("").alias("_g"))
+    names = F.array(*[F.struct(F.lit(i * len(probs) + j).alias("slot"), F.lit(c).alias("feature"), F.lit(p).alias("prob"))
+                      for i, c in enumerate(columns) for j, p in enumerate(probs)])
+    wanted = every.select("_g", F.explode(names).alias("x")).select("_g", "x.*")
+    found = known.select("_key", F.col("slot").alias("_slot"), value.alias("value"))
+    out = wanted.join(found if by else F.broadcast(found), F.col("_g").eqNullSafe(F.col("_key")) & (F.col("slot") == F.col("_slot")), "left")
+    return out.select(*([F.col("_g").alias(by)] if by else []), "feature", "prob", "value")
+
+
+def _inside(base: DataFrame, targets: DataFrame, slots: list[int], each: int, by: str | None) -> DataFrame:
+    """(_key, s, h, v): the values at the wanted ranks of buckets that hold several."""
+    at = {s: k for k, s in enumerate(slots)}
+    ends = lambda c: F.array(*[F.max(F.when(F.col("s") == s, F.col(c))) for s in slots]).alias(c)
+    ranges = targets.where("s = of").groupBy(F.col("_g").alias("_key")).agg(ends("low"), ends("high"))
     # One row without groups; otherwise the planner knows the size of the written table.
     ranged = base.join(ranges if by else F.broadcast(ranges), F.col("_g").eqNullSafe(F.col("_key")))
 
-    def bounds(i: int, j: int) -> tuple[Column, Column, Column]:
-        return F.col(f"_v{i}"), F.col("ends")[i][2 * j], F.col("ends")[i][2 * j + 1]
-
-    def around(i: int, j: int) -> Column:
-        v, low, high = bounds(i, j)
-        return F.struct(F.lit(i * len(probs) + j).alias("s"), F.lit(columns[i]).alias("feature"), F.lit(probs[j]).alias("prob"),
-                        F.count(v).alias("n"), F.count_if(v < low).alias("below"), F.count_if((v >= low) & (v <= high)).alias("inside"),
-                        F.max(F.when(v < low, v)).alias("before"), F.min(F.when(v > high, v)).alias("after"))
+    def found_in(s: int) -> Column:
+        v, low, high = F.col(f"_v{s // each}"), F.col("low")[at[s]], F.col("high")[at[s]]
+        return F.when((v >= low) & (v <= high), F.struct(F.lit(s).alias("s"), (v + F.lit(0.0)).alias("v")))
 
-    def inside(i: int, j: int) -> Column:
-        v, low, high = bounds(i, j)
-        return F.when((v >= low) & (v <= high), F.struct(F.lit(i * len(probs) + j).alias("s"), v.alias("v")))
-
-    place = (F.col("n") - 1) * F.col("prob")
-    targets = materialize(ranged.groupBy("_g").agg(F.array(*[around(*s) for s in slots]).alias("t")).select("_g", F.explode("t").alias("t"))
-                          .select("_g", "t.*").withColumns({"h": place, "first": F.floor(place), "last": F.ceil(place)}))
-    values = ranged.select("_g", F.explode(F.array_compact(F.array(*[inside(*s) for s in slots]))).alias("x")) \
-        .groupBy("_g", "x.s", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    values = materialize(ranged.select("_g", F.explode(F.array(*[found_in(s) for s in slots])).alias("x")).where("x is not null")
+                         .groupBy("_g", "x.s", "x.v").agg(F.count(F.lit(1)).alias("c")))
     ranked = running_total(values, "v", ["c"], by=["_g", "s"])
-    asked = targets.select(F.col("_g").alias("_key"), F.col("s").alias("_s"), "below", "first", "last")
-    met = ranked.join(asked, F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("_s")))
-
-    def holds(rank: str) -> Column:
-        left = F.col(rank) - F.col("below")
-        return F.when((F.col("c_before") <= left) & (left < F.col("c_before") + F.col("c")), F.col("v"))
-
-    found = met.groupBy("_key", "_s").agg(F.max(holds("first")).alias("low"), F.max(holds("last")).alias("high"))
-
-    def value(rank: str, name: str) -> Column:
-        at = F.col(rank) - F.col("below")
-        return F.when(at == -1, F.col("before")).when(at == F.col("inside"), F.col("after")).otherwise(
-            F.coalesce(name, F.raise_error(F.lit("sketch bracket lost the wanted rank")).cast("double")))
-
-    out = targets.join(found, F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("_s")), "left")
-    known = F.col("n") > 0
-    ends_at = out.withColumns({"a": F.when(known, value("first", "low")), "b": F.when(known, value("last", "high"))})
-    # As `percentile` interpolates, to the last bit.
-    result = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("last") - F.col("h")) * F.col("a") + (F.col("h") - F.col("first")) * F.col("b"))
-    return ends_at.select(*([F.col("_g").alias(by)] if by else []), "feature", "prob", result.alias("value"))
+    asked = targets.select(F.col("_g").alias("_key"), F.col("s").alias("_s"), "of", "left", "h")
+    met = ranked.join(asked if by else F.broadcast(asked), F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("of")))
+    return met.where((F.col("c_before") <= F.col("left")) & (F.col("left") < F.col("c_before") + F.col("c"))).select(
+        "_key", F.col("_s").alias("s"), "h", "v")
 
 
-def percentile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                      accuracy: int = ACCURACY, stored: bool = False) -> dict[str, list[float | None]]:
+def percentile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], stored: bool = False) -> dict[str, list[float | None]]:
     """Percentiles of the whole table as literals: feature -> one value per probability."""
-    rows = exact_percentiles(df, columns, probs, accuracy=accuracy, stored=stored).collect()
+    rows = exact_percentiles(df, columns, probs, stored=stored).collect()
     found = {(r["feature"], r["prob"]): r["value"] for r in rows}
     return {c: [found.get((c, float(p))) for p in probs] for c in columns}

@@ -101,7 +101,7 @@ _ROUND_DESCRIBE = ("mean", "std", "min", "max", "q25", "q50", "q75")
 @query("d10_describe", "SELECT feature, n, " + ", ".join(f"round({c}, 4) AS {c}" for c in _ROUND_DESCRIBE)
        + f" FROM ({each(a.FEATURES, _DESCRIBE)})", (a.FLOWS,))
 def describe(t: Tables) -> DataFrame:
-    return rounded(profile.describe(a.flows(t), a.FEATURES), *_ROUND_DESCRIBE, digits=4)
+    return rounded(profile.describe(a.flows(t), a.FEATURES, stored=True), *_ROUND_DESCRIBE, digits=4)
 
 
 _OUT = """CASE WHEN q3 = q1 THEN 0.0 ELSE round(avg(CAST({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)
@@ -111,13 +111,13 @@ _OUT = """CASE WHEN q3 = q1 THEN 0.0 ELSE round(avg(CAST({c} < q1 - 1.5 * (q3 -
 @query("d11_outlier_ratio", each(a.FEATURES, _OUT, "flows",
        ", (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM flows) b GROUP BY q1, q3"), (a.FLOWS,))
 def outlier_ratio(t: Tables) -> DataFrame:
-    return rounded(profile.outlier_ratio(a.flows(t), a.FEATURES), "outlier_ratio")
+    return rounded(profile.outlier_ratio(a.flows(t), a.FEATURES, stored=True), "outlier_ratio")
 
 
 @query("d12_class_profiles", each(KEY, """label, round(quantile_cont({c}, 0.5), 4) AS median,
   round(quantile_cont({c}, 0.95), 4) AS p95""", "flows", "GROUP BY label"), (a.FLOWS,))
 def class_profiles(t: Tables) -> DataFrame:
-    return rounded(profile.class_profiles(a.flows(t), KEY, "label"), "median", "p95", digits=4)
+    return rounded(profile.class_profiles(a.flows(t), KEY, "label", stored=True), "median", "p95", digits=4)
 
 
 _CORR = " UNION ALL ".join(
@@ -164,7 +164,7 @@ def cohens_d(t: Tables) -> DataFrame:
   quantile_cont({c}, 0.5) FILTER (WHERE label <> 'BENIGN') AS am, quantile_cont({c}, 0.5) FILTER (WHERE label = 'BENIGN') AS bm
   FROM flows)""" for c in KEY), (a.FLOWS,))
 def median_gap(t: Tables) -> DataFrame:
-    out = profile.median_gap(a.flows(t), KEY, "label")
+    out = profile.median_gap(a.flows(t), KEY, "label", stored=True)
     return rounded(rounded(out, "attack_median", "benign_median", digits=4), "relative_gap")
 
 
@@ -179,7 +179,7 @@ def _levene_sql(c: str) -> str:
 
 @query("d16_levene", " UNION ALL ".join(_levene_sql(c) for c in TEST), (a.FLOWS,))
 def levene(t: Tables) -> DataFrame:
-    return rounded(profile.levene(a.flows(t), TEST, "label").drop("p_value"), "statistic", digits=4)
+    return rounded(profile.levene(a.flows(t), TEST, "label", stored=True).drop("p_value"), "statistic", digits=4)
 
 
 def _kruskal_sql(c: str) -> str:
@@ -204,5 +204,5 @@ def anderson_normal(t: Tables) -> DataFrame:
 def pvalues(t: Tables) -> DataFrame:
     f = a.flows(t)
     kw = profile.kruskal(f, KEY, "label").select("feature", F.lit("kruskal").alias("test"), "p_value")
-    lv = profile.levene(f, KEY, "label").select("feature", F.lit("levene").alias("test"), "p_value")
+    lv = profile.levene(f, KEY, "label", stored=True).select("feature", F.lit("levene").alias("test"), "p_value")
     return kw.unionByName(lv)
