@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from flowlens.contract import IDENTIFIERS, FeatureContract
 from flowlens.functions.labels import RARE_GROUPS
 from flowlens.functions.values import finite, is_numeric_text, to_number
+from flowlens.operators.ordered import running_total
 
 
 def q(name: str) -> Column:
@@ -186,18 +187,29 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None, dro
         f"{column}_{safe_name(v)}": F.coalesce((q(column) == F.lit(v)).cast("int"), F.lit(0)) for v in kept})
 
 
+def label_codes(train: DataFrame, column: str) -> DataFrame:
+    """(value, code): alphabetical codes from 0 of the training set's values, for any number of them."""
+    values = train.select(q(column).cast("string").alias("value")).where("value is not null").distinct()
+    return running_total(values.withColumn("_one", F.lit(1)), "value", ["_one"]).select("value", F.col("_one_before").cast("int").alias("code"))
+
+
+def with_codes(df: DataFrame, column: str, codes: DataFrame, output: str) -> DataFrame:
+    """Add the code of a value from a table (value, code); unknown and missing values give NULL."""
+    named = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+    return df.join(named, q(column).cast("string") == F.col("_value"), "left").withColumn(output, F.col("_code")).drop("_value", "_code")
+
+
 def index_labels(train: DataFrame, column: str) -> dict[str, int]:
-    """Alphabetical class codes from the training set (bounded by the number of classes)."""
-    rows = train.select(q(column).cast("string").alias("v")).distinct().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("label column has too many values")
-    return {v: i for i, v in enumerate(sorted(r["v"] for r in rows if r["v"] is not None))}
+    """`label_codes` on the driver, for models that hold their classes."""
+    return {r["value"]: r["code"] for r in label_codes(train, column).collect()}
 
 
 def lookup(df: DataFrame, column: str, table: dict[str, object], output: str) -> DataFrame:
-    """Map lookup by a literal table; unknown keys give NULL."""
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return df.withColumn(output, F.try_element_at(pairs, q(column)))
+    """Lookup in a table that the driver holds, as a broadcast join; unknown keys give NULL."""
+    if not table:
+        return df.withColumn(output, F.lit(None))
+    named = df.sparkSession.createDataFrame(list(table.items()), ["_key", "_value"])
+    return df.join(F.broadcast(named), q(column) == F.col("_key"), "left").withColumn(output, F.col("_value")).drop("_key", "_value")
 
 
 def clean_documents(df: DataFrame, defaults: dict[str, object], drop: Sequence[str] = ("_id",)) -> DataFrame:

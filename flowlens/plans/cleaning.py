@@ -161,8 +161,8 @@ def binary_target(t: Tables) -> DataFrame:
   WHERE ts < TIMESTAMP '2000-01-01' GROUP BY label) USING (label) GROUP BY ALL""", (a.FLOWS,))
 def index_labels(t: Tables) -> DataFrame:
     f = a.flows(t)
-    codes = clean.index_labels(f.filter(~a.is_validation()), "label")
-    return clean.lookup(f, "label", codes, "code").groupBy("label", "code").agg(F.count(F.lit(1)).alias("n"))
+    codes = clean.label_codes(f.filter(~a.is_validation()), "label")
+    return clean.with_codes(f, "label", codes, "code").groupBy("label", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("b09_attack_group", f"""SELECT CASE l WHEN 'BENIGN' THEN 'Normal Traffic' WHEN 'DoS Hulk' THEN 'DoS'

@@ -151,7 +151,7 @@ def forest_importance(t: Tables) -> DataFrame:
 
 @query("i15_bakeoff")
 def bakeoff(t: Tables) -> DataFrame:
-    return experiments.bakeoff(binary(t), a.FEATURES, "y", "row_key", neighbours=None)
+    return experiments.bakeoff(binary(t), a.FEATURES, "y", "row_key")
 
 
 _KNN = """SELECT vec_id, CAST(arg_min(label, (-n, label)) AS INTEGER) AS predicted FROM (SELECT q AS vec_id, label, count(*) AS n FROM (

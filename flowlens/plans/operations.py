@@ -98,6 +98,22 @@ def latency_stats(t: Tables) -> DataFrame:
     return rounded(ops.latency_stats(a.incidents(t), stored=True), "mean", "p50", "p95", "p99")
 
 
+@query("d40_rolling_latency", " UNION ALL ".join(f"""SELECT '{n}' AS stage, count(*) AS n, round(avg(CAST(date_diff('microsecond', {x}, {y}) AS DOUBLE) / 1000), 6)
+  AS mean, true AS p50_close, true AS p95_close, true AS p99_close FROM incidents WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'"""
+  for n, (x, y) in _LAT.items()), I)
+def rolling_latency(t: Tables) -> DataFrame:
+    """A week from hourly sketches; how many rows really lie below its percentiles is counted to judge them."""
+    start, end = (F.lit(d).cast("timestamp") for d in ("2024-01-05", "2024-01-12"))
+    rows = a.incidents(t)
+    week = ops.rolling_latency(ops.latency_sketches(rows), start, end)
+    long = rows.where((F.col("ts") >= start) & (F.col("ts") < end)).select(*ops.latencies()).unpivot([], list(_LAT), "stage", "ms")
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    below = long.join(F.broadcast(week), "stage").groupBy("stage").agg(
+        F.max("n").alias("n"), F.max("mean").alias("mean"),
+        *[(F.abs(F.avg((F.col("ms") <= F.col(p)).cast("int")) - v) <= 3 * ops.RANK_ERROR).alias(f"{p}_close") for p, v in probs.items()])
+    return rounded(below, "mean")
+
+
 @query("j08_latency_by_run", """SELECT run_id, round(quantile_cont(ms, 0.95), 6) AS p95_ms, run_id = (
   SELECT benchmark_run_id FROM incidents ORDER BY ingest_ts DESC, benchmark_run_id DESC LIMIT 1) AS freshest FROM (
   SELECT benchmark_run_id AS run_id, CAST(date_diff('microsecond', ingest_ts, write_ts) AS DOUBLE) / 1000 AS ms FROM incidents)

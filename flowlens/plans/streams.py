@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,11 @@ from flowlens.plans import adapters as a
 from flowlens.plans.operations import I, SLIDING, TUMBLING
 from flowlens.plans.registry import Tables, naive, query, rounded
 from flowlens.session import work_dir
-from flowlens.sources.store import read_incidents, read_table
+from flowlens.sources.flows import path_exists
+from flowlens.sources.store import expire_table, read_incidents, read_table, upsert
+from flowlens.sources.versions import VersionedTable
 from flowlens.streaming import jobs
+from flowlens.streaming.progress import ProgressLog, progress_log
 
 _STREAM_COLUMNS = """campaign_id, attacker_ip, timestamp_start, timestamp_end, aggregated_events,
   round(confidence_score, 10) AS confidence_score, threat_classification"""
@@ -136,3 +140,60 @@ def scoring_stream(t: Tables) -> DataFrame:
     drain(jobs.score_stream(with_features(a.scored(streamed(t))), model, 0.5, folder + "/incidents",
                             folder + "/checkpoint", columns))
     return read_incidents(t.spark, folder + "/incidents").select("timestamp", "confidence", "features")
+
+
+@query("a08_versioned_upsert", """SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN value - 1000 ELSE value END, 6) AS value FROM events""")
+def versioned_upsert(t: Tables) -> DataFrame:
+    """All events, then corrections with lower values, then the first batch again, which changes nothing."""
+    path = new_folder(t.spark, "upsert") + "/table"
+    events = t.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    lower = events.where("event_id % 5 = 0").withColumn("value", F.col("value") - 1000)
+    for batch, rows in ((0, events), (1, lower), (0, events)):
+        upsert(rows, path, "event_id", "value", "ts", ("corrections", batch))
+    return rounded(read_table(t.spark, path).select("event_id", "value"), "value")
+
+
+@query("a09_expired_table", f"""SELECT event_id FROM incidents
+  WHERE ts >= TIMESTAMP '{a.NOW}' - INTERVAL 10 DAY""", (a.SCORED, a.INCIDENTS))
+def expired_table(t: Tables) -> DataFrame:
+    """A stored table without what is out of retention: days dropped, the border day rewritten, files deleted."""
+    path = new_folder(t.spark, "retention") + "/table"
+    VersionedTable(t.spark, path).append(a.incidents(t).select("event_id", F.col("ts").cast("timestamp").alias("ts")), "ts")
+    expire_table(t.spark, path, "ts", a.now(), 10)
+    return read_table(t.spark, path).select("event_id")
+
+
+@query("j10_replayed_batches", """SELECT label AS threat_classification, count(*) AS n, count(DISTINCT event_id % 3) AS batches FROM scored
+  WHERE p >= 0.5 GROUP BY 1""", (a.SCORED,))
+def replayed_batches(t: Tables) -> DataFrame:
+    """Three micro-batches, each delivered twice: the ledger keeps one copy."""
+    path = new_folder(t.spark, "replay") + "/incidents"
+    scored = a.scored(t).select("event_id", F.col("ts").cast("timestamp").alias("ingest_ts"), "p", F.col("label").alias("threat_classification"),
+                                (F.col("event_id") % 3).cast("double").alias("batch"))
+    write = jobs.incident_writer(path, None, 0.5, ["batch"])
+    for batch in (0, 0, 1, 2, 2):
+        write(scored.where(F.col("batch") == batch), batch)
+    write(scored.where("batch = 1"), 1)
+    docs = read_incidents(t.spark, path)
+    return docs.groupBy("threat_classification").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("features")["batch"]).alias("batches"))
+
+
+@query("j09_progress_log", """SELECT count(*) AS processed_total, CAST(0 AS BIGINT) AS lag, true AS timed FROM events""")
+def logged_progress(t: Tables) -> DataFrame:
+    """What a stream's own log says after it has drained the events."""
+    folder, session = new_folder(t.spark, "log"), streamed(t)
+    log = ProgressLog(session.spark, folder + "/log")
+    session.spark.streams.addListener(log)
+    drain(jobs.append_campaigns(a.incidents(session).select("ts", "event_id"), folder + "/table", folder + "/checkpoint", None))
+    wait_for(lambda: path_exists(t.spark, folder + "/log"))
+    session.spark.streams.removeListener(log)
+    lines = progress_log(t.spark, folder + "/log")
+    return lines.agg(F.max("processed_total").alias("processed_total"), F.max("consumer_lag_messages").alias("lag"),
+                     F.bool_and(F.col("stage_ms")["addBatch"].isNotNull()).alias("timed"))
+
+
+def wait_for(done, seconds: float = 30.0) -> None:
+    """Listeners are told a little later than the query ends."""
+    limit = time.monotonic() + seconds
+    while not done() and time.monotonic() < limit:
+        time.sleep(0.1)

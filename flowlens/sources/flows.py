@@ -31,8 +31,8 @@ def read_flows(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
     """Rows of the files that exist, tagged with their file name, and the missing paths.
 
     With a schema all files are one scan, and headers are checked against it.
-    Without one, files that share a header are one scan of text columns; groups
-    with other columns are aligned by name.
+    Without one, files that share a header (`by_header`) are one scan of text
+    columns; groups with other columns are aligned by name.
     """
     existing = [p for p in paths if path_exists(spark, p)]
     missing = [p for p in paths if p not in existing]
@@ -42,13 +42,23 @@ def read_flows(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
     if schema is not None:
         df = with_source_file(reader.option("enforceSchema", False).schema(schema).csv(existing))
         return trim_headers(df), missing
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in existing:
-        by_header.setdefault(tuple(reader.csv(path).columns), []).append(path)
-    frames = [trim_headers(with_source_file(reader.csv(group))) for group in by_header.values()]
+    frames = [trim_headers(with_source_file(reader.csv(list(group)))) for group in by_header(spark, existing)]
     return union_all(frames), missing
 
 
+def by_header(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
+    """Files in groups of one first line, by one job over all of them; empty files are left out.
+
+    Groups come in the order of their first path. What reaches the driver is
+    the list of paths that the reader needs.
+    """
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                                F.monotonically_increasing_id().alias("at"))
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [r["paths"] for r in sorted(groups.collect(), key=lambda r: r["paths"][0])]
+
+
 def manifest(expected: DataFrame, listing: DataFrame) -> DataFrame:
     """Expected file names and whether they are present, ignoring case."""
     present = listing.select(F.lower("name").alias("_key")).distinct().withColumn("_found", F.lit(True))

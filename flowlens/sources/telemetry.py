@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.functions.network import ips_from_flow_id, pick, synthetic_ip
 from flowlens.functions.values import to_number
@@ -21,12 +22,15 @@ MESSAGE_SCHEMA = T.StructType([
 
 
 def read_telemetry(spark: SparkSession, path_or_topic: str, fmt: str = "kafka", starting: str = "latest",
-                   rate_per_second: int | None = None, trigger_seconds: float = 1.0,
+                   rate_per_second: int | None = None, trigger_seconds: float = 1.0, events_per_file: int | None = None,
                    schema: T.StructType = MESSAGE_SCHEMA, options: Mapping[str, str] | None = None) -> DataFrame:
     """Unbounded message table from a Kafka topic, or from a folder of message files.
 
-    ``rate_per_second`` caps the intake: a trigger takes at most rate x interval
-    offsets (Kafka) or that many files (folders).
+    ``rate_per_second`` caps the intake of a trigger at rate x interval events.
+    Kafka counts them by offsets. A folder is admitted by files, so its files
+    must hold at most ``events_per_file`` events (`replay_to_topic` and
+    `refile` write such files); without it a trigger takes one file. The
+    checkpoint knows which files were taken, so the cap holds after restarts.
     """
     reader = spark.readStream.format(fmt).options(**dict(options or {}))
     cap = None if rate_per_second is None else max(int(rate_per_second * trigger_seconds), 1)
@@ -36,10 +40,20 @@ def read_telemetry(spark: SparkSession, path_or_topic: str, fmt: str = "kafka",
             reader = reader.option("maxOffsetsPerTrigger", cap)
         return reader.load()
     if cap:
-        reader = reader.option("maxFilesPerTrigger", cap)
+        if events_per_file and events_per_file > cap:
+            raise ValueError(f"files of {events_per_file} events do not fit a cap of {cap} a trigger")
+        reader = reader.option("maxFilesPerTrigger", cap // events_per_file if events_per_file else 1)
     return reader.schema(schema).load(path_or_topic)
 
 
+def refile(spark: SparkSession, source: str, target: str, checkpoint: str, events_per_file: int, fmt: str = "parquet",
+           schema: T.StructType = MESSAGE_SCHEMA, files_per_trigger: int = 1000) -> StreamingQuery:
+    """Copy a folder of message files into one whose files hold at most ``events_per_file`` events; new files only, each once."""
+    files = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(source)
+    return files.writeStream.format(fmt).option("path", target).option("checkpointLocation", checkpoint).option(
+        "maxRecordsPerFile", events_per_file).trigger(availableNow=True).start()
+
+
 def parse_payload(messages: DataFrame, schema: T.StructType, lenient: bool = False,
                   keep: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
     """Message value to typed, safely named columns and a ``parse_failed`` flag.
@@ -96,9 +110,11 @@ def replay_messages(flows: DataFrame, row_id: str, ingest_ts: Column, port: str
 
 
 def replay_to_topic(messages: DataFrame, path_or_topic: str, fmt: str = "kafka",
-                    options: Mapping[str, str] | None = None) -> None:
-    """Write messages to a topic, or append them to a folder as (partition, offset, key, value)."""
+                    options: Mapping[str, str] | None = None, events_per_file: int | None = None) -> None:
+    """Write messages to a topic, or append them to a folder as (partition, offset, key, value), ``events_per_file`` at most in a file."""
     writer = messages.write.format(fmt).options(**dict(options or {})).mode("append")
+    if events_per_file:
+        writer = writer.option("maxRecordsPerFile", events_per_file)
     if fmt == "kafka":
         writer.option("topic", path_or_topic).save()
     else:
