@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,36 +49,62 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     # the upper rank mostly lies in the bucket of the lower one, whose values then serve both
     shared = F.exists("inside", lambda r: r["s"] == F.col("r.s") - 1) & (F.col("r.s") % 2 == 1)
     first = F.col("i") * (2 * len(probs)) + F.col("r.s")
-    targets = materialize(placed.withColumn("inside", inside).where(F.size("inside") > 0).select("*", F.explode("inside").alias("r")).select(
+    targets = placed.withColumn("inside", inside).where(F.size("inside") > 0).select("*", F.explode("inside").alias("r")).select(
         "_g", first.alias("s"), F.when(shared, first - 1).otherwise(first).alias("of"), "low", "high",
-        (F.col("r.rank") - F.col("below")).alias("left"), F.col("r.h").alias("h")))
+        (F.col("r.rank") - F.col("below")).alias("left"), F.col("r.h").alias("h"))
+    if not by:
+        return _of_all(base, targets, columns, probs)
+    targets = materialize(targets)
     # buckets of one value need no second pass; the others are few: at most two for each column and percentile
     several = F.col("low") < F.col("high")
     slots = sorted(r[0] for r in targets.where(several).select("of").distinct().collect())
     known = targets.where(~several).select(F.col("_g").alias("_key"), "s", "h", F.col("low").alias("v"))
     if slots:
-        known = known.unionByName(_inside(base, targets.where(several), slots, 2 * len(probs), by))
+        known = known.unionByName(_inside(base, targets.where(several), slots, 2 * len(probs)))
     side = lambda n: F.max(F.when(F.col("s") % 2 == n, F.col("v")))
     known = known.groupBy("_key", F.floor(F.col("s") / 2).cast("int").alias("slot")).agg(side(0).alias("a"), side(1).alias("b"), F.max("h").alias("h"))
     # As `percentile` interpolates, to the last bit.
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
         (F.ceil("h") - F.col("h")) * F.col("a") + (F.col("h") - F.floor("h")) * F.col("b"))
-    every = base.select("_g").distinct() if by else base.sparkSession.range(1).select(F.lit("").alias("_g"))
+    every = base.select("_g").distinct()
     names = F.array(*[F.struct(F.lit(i * len(probs) + j).alias("slot"), F.lit(c).alias("feature"), F.lit(p).alias("prob"))
                       for i, c in enumerate(columns) for j, p in enumerate(probs)])
     wanted = every.select("_g", F.explode(names).alias("x")).select("_g", "x.*")
     found = known.select("_key", F.col("slot").alias("_slot"), value.alias("value"))
-    out = wanted.join(found if by else F.broadcast(found), F.col("_g").eqNullSafe(F.col("_key")) & (F.col("slot") == F.col("_slot")), "left")
-    return out.select(*([F.col("_g").alias(by)] if by else []), "feature", "prob", "value")
+    out = wanted.join(found, F.col("_g").eqNullSafe(F.col("_key")) & (F.col("slot") == F.col("_slot")), "left")
+    return out.select(F.col("_g").alias(by), "feature", "prob", "value")
 
 
-def _inside(base: DataFrame, targets: DataFrame, slots: list[int], each: int, by: str | None) -> DataFrame:
+def _of_all(base: DataFrame, targets: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Without groups the wanted ranks are two rows for each column and percentile, which the driver holds."""
+    spark, each = base.sparkSession, 2 * len(probs)
+    rows = targets.collect()
+    held = {r["s"]: r["low"] for r in rows if r["low"] == r["high"]}
+    several = [tuple(r) for r in rows if r["low"] < r["high"]]
+    if several:
+        small = F.broadcast(spark.createDataFrame(several, targets.schema))
+        held |= {r["s"]: r["v"] for r in _inside(base, small, sorted({r["of"] for r in rows if r["low"] < r["high"]}), each, True).collect()}
+    place = {r["s"]: r["h"] for r in rows}
+
+    def value(i: int, j: int) -> float | None:
+        s = i * each + 2 * j
+        if s not in held:
+            return None
+        a, b, h = held[s], held[s + 1], place[s]
+        # As `percentile` interpolates, to the last bit.
+        return a if a == b else (math.ceil(h) - h) * a + (h - math.floor(h)) * b
+
+    return spark.createDataFrame([(c, p, value(i, j)) for i, c in enumerate(columns) for j, p in enumerate(probs)],
+                                 "feature string, prob double, value double")
+
+
+def _inside(base: DataFrame, targets: DataFrame, slots: list[int], each: int, small: bool = False) -> DataFrame:
     """(_key, s, h, v): the values at the wanted ranks of buckets that hold several."""
     at = {s: k for k, s in enumerate(slots)}
     ends = lambda c: F.array(*[F.max(F.when(F.col("s") == s, F.col(c))) for s in slots]).alias(c)
     ranges = targets.where("s = of").groupBy(F.col("_g").alias("_key")).agg(ends("low"), ends("high"))
     # One row without groups; otherwise the planner knows the size of the written table.
-    ranged = base.join(ranges if by else F.broadcast(ranges), F.col("_g").eqNullSafe(F.col("_key")))
+    ranged = base.join(F.broadcast(ranges) if small else ranges, F.col("_g").eqNullSafe(F.col("_key")))
 
     def found_in(s: int) -> Column:
         v, low, high = F.col(f"_v{s // each}"), F.col("low")[at[s]], F.col("high")[at[s]]
@@ -87,7 +114,7 @@ def _inside(base: DataFrame, targets: DataFrame, slots: list[int], each: int, by
                          .groupBy("_g", "x.s", "x.v").agg(F.count(F.lit(1)).alias("c")))
     ranked = running_total(values, "v", ["c"], by=["_g", "s"])
     asked = targets.select(F.col("_g").alias("_key"), F.col("s").alias("_s"), "of", "left", "h")
-    met = ranked.join(asked if by else F.broadcast(asked), F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("of")))
+    met = ranked.join(F.broadcast(asked) if small else asked, F.col("_g").eqNullSafe(F.col("_key")) & (F.col("s") == F.col("of")))
     return met.where((F.col("c_before") <= F.col("left")) & (F.col("left") < F.col("c_before") + F.col("c"))).select(
         "_key", F.col("_s").alias("s"), "h", "v")
 
