@@ -112,16 +112,14 @@ def templates(pages: DataFrame, depth: int = 8, least: int = 3, width: int = 32)
     return state.withColumn("node", F.when(F.size("segments") > depth, F.concat("node", F.lit("/**"))).otherwise(F.col("node"))).drop("segments")
 
 
-def purities(found: DataFrame, smoothing: float = 4.0) -> DataFrame:
-    """(host, node, n, bad, good, purity): share of bad among a template's labelled pages, drawn towards the share of all by ``smoothing`` pages."""
-    bad, good = found.agg(F.sum("bad"), F.sum("good")).first()
-    prior = bad / (bad + good) if bad else 0.0
+def purities(found: DataFrame, smoothing: float = 6.0, prior: float = 0.5) -> DataFrame:
+    """(host, node, n, bad, good, purity): share of bad among a template's labelled pages, drawn towards ``prior`` by ``smoothing`` pages."""
     return found.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good"))).withColumn(
         "purity", (F.col("bad") + F.lit(smoothing * prior)) / (F.col("bad") + F.col("good") + smoothing))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None,
-          reject: float = 0.75, smoothing: float = 4.0, depth: int = 8, least: int = 3, width: int = 32) -> DataFrame:
+          reject: float = 0.75, smoothing: float = 6.0, depth: int = 8, least: int = 3, width: int = 32) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict), one for each page.
 
     ``rules`` are (``allow`` or ``block``, host/path prefix); the longest one
@@ -129,8 +127,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     path template (`templates`): it is rejected if the smoothed purity of its
     labelled pages (`purities`) reaches ``reject``. Labels are the rules'
     verdicts and, for other pages, the boolean ``bad_col`` where it is not NULL.
-    So a template without labelled pages is allowed unless bad ones prevail
-    everywhere.
+    Purity is drawn towards one half, whatever the labels elsewhere, so a
+    template without labelled pages is allowed, and six bad pages and no good
+    one are needed to reject.
 
     NULL urls and those without ``://`` have an empty host and path, one
     template for all of them. Repeated rows count as often as they occur and

@@ -154,7 +154,7 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 CRITICAL = (3.841, 5.991, 7.815, 9.488, 11.070, 12.592)
 
 
-def judged(rows, rules=RULES, reject=0.75, smoothing=4.0, depth=8, least=3, width=32):
+def judged(rows, rules=RULES, reject=0.75, smoothing=6.0, depth=8, least=3, width=32):
     """The same rule, page by page and branch by branch."""
     def spread(v):
         return sum(x * math.log(x) for x in v if x) - (sum(v) * math.log(sum(v)) if sum(v) else 0)
@@ -203,13 +203,11 @@ def judged(rows, rules=RULES, reject=0.75, smoothing=4.0, depth=8, least=3, widt
                 for name in names:
                     for p in branches[name]:
                         p[7] = f"{node}/{label}"
-    marks = [p[5] for p in pages if p[5] is not None]
-    prior = sum(marks) / len(marks) if any(marks) else 0
     held = defaultdict(list)
     for p in pages:
         p[7] += "/**" if len(p[6]) > depth else ""
         held[p[1], p[7]] += [p[5]] if p[5] is not None else []
-    low = {k for k, v in held.items() if (sum(v) + smoothing * prior) / (len(v) + smoothing) >= reject}
+    low = {k for k, v in held.items() if (sum(v) + smoothing * 0.5) / (len(v) + smoothing) >= reject}
     return sorted(((p[0], p[1], p[2], p[3], p[4] or ("block" if (p[1], p[7]) in low else "allow")) for p in pages), key=str)
 
 
