@@ -6,12 +6,15 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 _archives: dict[str, tempfile.TemporaryDirectory] = {}
+_watching: list[list[str]] = []
 
 
 def build_session(app: str = "flowlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -80,11 +83,24 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{work_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for written in _watching:
+        written.append(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
 
 
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths that `materialize` writes meanwhile, for `remove_path` when nothing reads them any more."""
+    written: list[str] = []
+    _watching.append(written)
+    try:
+        yield written
+    finally:
+        _watching.remove(written)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
