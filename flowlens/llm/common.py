@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import materialize
+from flowlens.session import materialize, release
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,6 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := state(current)) != before:
         before = now
-        current = materialize(small(large(current).where("u <> v").distinct()).where("u <> v").distinct())
+        newer = materialize(small(large(current).where("u <> v").distinct()).where("u <> v").distinct())
+        release(current)
+        current = newer
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())

@@ -45,7 +45,7 @@ def _rarest(rows: DataFrame, keys: list[str], total: str, percent: int) -> DataF
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                   item_text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+                   item_text_col: str = "text", shingle: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
     """Where documents hold benchmark items: ``doc_id``, ``item_id``, ``start``, ``n_words``, ``distance``, ``similarity``.
 
     One row for each input row and item with a qualifying window, its best one
@@ -74,7 +74,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     NULL and empty texts hold nothing, NULL and empty items are never found;
     NULL and repeated ids of either table are returned as they are, repeated
     rows as often as they stand. Texts are known by SHA-256, so copies are
-    searched once. Other columns are not read. Nothing is broadcast by force.
+    searched once; with ``keys`` the hash of the text (`text_key`) is a column.
+    Other columns are not read. Nothing is broadcast by force.
     """
     items = materialize(benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text"))
                         .withColumn("item", text_key(F.col("text"))).withColumn("w", _words(F.col("text"))).where("size(w) > 0")
@@ -96,7 +97,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             .select("key", "run", "n", F.greatest(F.least(F.col("pos") - F.col("at"), F.col("long") - F.col("n")), F.lit(0)).alias("start"))
             for run in runs]
     if not hits:
-        return base.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"),
+        return base.select("doc_id", *(["key"] if keys else []), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"),
                            F.lit(0).alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity")).limit(0)
     windows = materialize(functools.reduce(DataFrame.unionByName, hits).distinct())
     opened = windows.groupBy("key", "run").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
@@ -132,4 +133,4 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         .select("key", "item", "start", F.col("n").alias("n_words"),
                 F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("distance"), "similarity")
     return base.select("doc_id", "key").join(best, "key").join(items.select("item_id", "item"), "item") \
-        .select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+        .select("doc_id", *(["key"] if keys else []), "item_id", "start", "n_words", "distance", "similarity")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import hashing
 from flowlens.llm.common import components
-from flowlens.session import materialize
+from flowlens.session import materialize, release
 
 
 def _sketched(shingle: int, k: int):
@@ -138,18 +138,20 @@ def _across(grouped: DataFrame, percent: int) -> DataFrame:
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) that are links: the union sketch filters, the full sets decide."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (a, b) that are links: the union sketch filters, the full sets decide.
+
+    A sketch is the first k values of its set, so one join a side serves both.
+    """
     _, large = _shared(percent, k)
-    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    both = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-    likely = pairs.join(left, "a").join(right, "b").where(both >= F.ceil(F.size(union) * F.lit(large) - 1e-9)).select("a", "b")
-    full = likely.join(sets.select(F.col("id").alias("a"), F.col("all").alias("fa")), "a") \
+    sa, sb = (F.slice(c, 1, k) for c in ("fa", "fb"))
+    union = F.slice(F.array_sort(F.array_union(sa, sb)), 1, k)
+    sketched = F.size(F.array_intersect(F.array_intersect(union, sa), sb))
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("all").alias("fa")), "a") \
         .join(sets.select(F.col("id").alias("b"), F.col("all").alias("fb")), "b")
+    likely = full.where(sketched >= F.ceil(F.size(union) * F.lit(large) - 1e-9))
     shared = F.size(F.array_intersect("fa", "fb"))
-    return full.withColumn("both", shared) \
+    return likely.withColumn("both", shared) \
         .where(F.col("both") * 100 >= (F.size("fa") + F.size("fb") - F.col("both")) * percent).select("a", "b")
 
 
@@ -198,9 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .select("key", "first.*", F.monotonically_increasing_id().alias("id")))
     sketches = materialize(usable.join(classes, ["key", "doc_id", "part"]).select("id", "n", "sketch").dropDuplicates(["id"]))
     lists = materialize(_prefixes(sketches, percent, k))
-    suspects = lists.select("id").distinct().join(classes, "id").select("id", "doc_id", "part")
+    release(sketches)
+    # a written table: the planner knows its size, and texts are shuffled only where it is too large to broadcast
+    suspects = materialize(lists.select("id").distinct().join(classes, "id").select("id", "doc_id", "part"))
     sets = materialize(base.join(suspects, ["doc_id", "part"]).select("id", "text").dropDuplicates(["id"])
                        .mapInArrow(_sets(shingle), "id long, all array<long>"))
+    release(suspects)
 
     def with_components(found: DataFrame) -> DataFrame:
         return lists.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left") \
@@ -208,11 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     grouped, links = lists.withColumn("c", F.col("id")), None
     for turn in range(turns):
-        more = materialize(_confirmed(_to_hubs(grouped, percent, turn), sketches, sets, percent, k))
+        more = materialize(_confirmed(_to_hubs(grouped, percent, turn), sets, percent, k))
         links = more if links is None else links.unionByName(more)
         found = components(links)
-        grouped = materialize(with_components(found))
+        newer = materialize(with_components(found))
+        release(grouped, found)
+        grouped = newer
+    release(lists)
     # the component that most classes of a list are in
+    table = grouped
     main = grouped.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "c")).alias("x")) \
         .select("value", F.col("x.c").alias("main"))
     grouped = grouped.join(main, "value").withColumn("out", F.col("c") != F.col("main"))
@@ -220,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .select("value").join(grouped, "value").select("id", "n", "c").distinct())
     last = _across(grouped.where(F.col("size") <= crowd).withColumn("rest", F.col("n")), percent) \
         .unionByName(_across(_full_lists(crowded, sets, percent), percent)).distinct()
-    found = components(links.unionByName(materialize(_confirmed(last, sketches, sets, percent, k))))
+    found = components(links.unionByName(materialize(_confirmed(last, sets, percent, k))))
+    release(crowded, sets, table)
     members = classes.join(found, classes["id"] == found["node"]).select("key", "doc_id", "part", "component")
     roots = members.groupBy("component").agg(F.min(F.struct("doc_id", "part")).alias("root"))
     linked = members.join(roots, "component").select("key", "root")

@@ -89,7 +89,8 @@ def op5(table) -> DataFrame:
 
 @query("op10_near")
 def op10(table) -> DataFrame:
-    return near.near_duplicates(table("documents"), shingle=3, percent=85)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return near.near_duplicates(table("documents"), shingle=3, percent=85).withColumn("kept", kept)
 
 
 @query("op9_toxicity")

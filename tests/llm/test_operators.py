@@ -355,3 +355,13 @@ def test_pipeline_rows(spark, folder, monkeypatch):
     sharded = [(r[0], r[1], seeded("shards", r[0]) % SLOTS) for r in mixed]
     got = sorted((r["doc_id"], r["text"], r["slot"], r["shard"]) for r in last.collect())
     assert got == sorted((*r, names[table[r[2]]]) for r in sharded)
+
+
+def test_benchmark_stage_goes_by_text(spark, folder):
+    """A clean text of a repeated id stays, a contaminated one goes, also without an id."""
+    import corpus_pipeline
+    item, other = (" ".join(rng.choice(VOCABULARY, 30)) for _ in range(2))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(1, f"so {item} on"), (1, other), (None, f"and {item}"), (None, other), (2, None)]
+    left = corpus_pipeline.benchmark_free(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4]]))
