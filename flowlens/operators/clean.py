@@ -199,6 +199,11 @@ def with_codes(df: DataFrame, column: str, codes: DataFrame, output: str) -> Dat
     return df.join(named, q(column).cast("string") == F.col("_value"), "left").withColumn(output, F.col("_code")).drop("_value", "_code")
 
 
+def unseen_labels(train: DataFrame, validation: DataFrame, column: str) -> DataFrame:
+    """Values of a validation set that its training set does not have."""
+    return validation.select(q(column)).where(q(column).isNotNull()).subtract(train.select(q(column)))
+
+
 def index_labels(train: DataFrame, column: str) -> dict[str, int]:
     """`label_codes` on the driver, for models that hold their classes."""
     return {r["value"]: r["code"] for r in label_codes(train, column).collect()}

@@ -83,6 +83,7 @@ def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:
     joined = base.select("metric", F.col("value").alias("base_value")).join(
         other.select("metric", F.col("value").alias("other_value")), "metric")
     delta = F.col("other_value") - F.col("base_value")
+    # The two advice texts.
     advice = F.when(F.col("metric") == "f1_attack", F.when(delta >= 0, "use_multiclass_now")
                     .otherwise("keep_binary_plus_rules_fallback"))
     return joined.select("metric", "base_value", "other_value", delta.alias("delta"),

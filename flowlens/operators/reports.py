@@ -92,6 +92,7 @@ def catalog(reports: DataFrame) -> DataFrame:
     """
     p = "p."
     kind = F.col("prefix")
+    # Fixed values below: the report kinds and the keys of their texts.
 
     def js(**fields: Column | str) -> Column:
         return F.to_json(F.struct(*[

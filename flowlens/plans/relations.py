@@ -218,7 +218,7 @@ def all_labels(t: Tables) -> DataFrame:
 
 @query("g03_unseen_labels", "SELECT DISTINCT label FROM dirty WHERE label IS NOT NULL EXCEPT SELECT label FROM flows", D)
 def unseen_labels(t: Tables) -> DataFrame:
-    return a.dirty(t).select("label").filter("label is not null").subtract(a.flows(t).select("label"))
+    return clean.unseen_labels(a.flows(t), a.dirty(t), "label")
 
 
 @query("d49_file_counts", "SELECT source_file, count(*) AS n FROM flows GROUP BY 1", (a.FLOWS,))

@@ -160,8 +160,10 @@ def upsert_campaigns(campaigns: DataFrame, path: str, checkpoint: str, every: st
     """Live campaigns: each change of a window replaces the campaign's row, in one step for the whole batch.
 
     A later batch counts, whatever its numbers, and a replayed one is known by its query and number.
+    ``updated_at`` is the time of the batch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("updated_at", F.current_timestamp())
         batch.persist()  # read twice below; without it the stateful plan would run twice
         upsert(batch, path, "campaign_id", "aggregated_events", "timestamp_start", (_query_id(batch.sparkSession, "campaigns"), batch_id))
         batch.unpersist()
