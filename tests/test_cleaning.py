@@ -132,3 +132,18 @@ def test_drop_correlated_keeps_first(spark):
     pairs = profile.corr_pairs(df, ["a", "b", "c", "k"])
     assert {(r["feature_a"], r["feature_b"]) for r in pairs.collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
     assert clean.drop_correlated(df, pairs).columns == ["a", "c", "k"]
+
+
+def test_unseen_labels_meet_as_distinct_values(spark):
+    """Rows of one label must not meet in one task: only distinct values are compared."""
+    train = spark.createDataFrame([("a",)] * 5 + [(None,)], "label string")
+    other = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "label string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = clean.unseen_labels(train, other, "label")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.split("LeftAnti")[1].count("Aggregate") == 2
+    assert [r["label"] for r in out.collect()] == ["b"]
