@@ -260,8 +260,9 @@ def levene(df: DataFrame, features: Sequence[str], label: str, stored: bool = Fa
     """
     wide = df.filter(q(label).isNotNull()).select(q(label).alias("label"), *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     names = [f"x{i}" for i in range(len(features))]
-    medians = exact_percentiles(wide, names, [0.5], by="label", stored=stored).groupBy(F.col("label").alias("class")).agg(
-        *[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(f"m{i}") for i, n in enumerate(names)])
+    # one row a class; a written table, so the planner knows its size and few classes are no shuffle of the rows
+    medians = materialize(exact_percentiles(wide, names, [0.5], by="label", stored=stored).groupBy(F.col("label").alias("class")).agg(
+        *[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(f"m{i}") for i, n in enumerate(names)]))
     centred = wide.join(medians, F.col("label") == F.col("class"))
 
     def sums(i: int) -> Column:

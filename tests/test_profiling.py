@@ -178,3 +178,24 @@ def test_cohens_d_undefined_is_zero(spark):
     two = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     assert profile.cohens_d(one, two, ["x"]).first()["cohens_d"] == 0.0
     assert profile.cohens_d(two, two, ["x"]).first()["cohens_d"] == 0.0
+
+
+def test_rows_of_one_time_share_the_tasks(spark):
+    """Rows without a time are a large part of an event log; one task must not sort them all."""
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN timestamp_seconds(id) END AS ts", "map('k', id) AS m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = split.chronological(df, "ts")
+        most = out.where("ts is null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        times = [r["ts"] for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most < 1500
+    assert times[:1000] == sorted(times[:1000]) and times[1000:] == [None] * 3000
+
+
+def test_levene_meets_medians_without_a_shuffle_of_the_rows(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(i % 17)) for i in range(300)], "label string, x double")
+    out = profile.levene(df, ["x"], "label")
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1
