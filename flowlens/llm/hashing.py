@@ -12,7 +12,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text hashed at once; temporaries take some twenty times as much.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

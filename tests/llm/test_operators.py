@@ -365,3 +365,19 @@ def test_benchmark_stage_goes_by_text(spark, folder):
     rows = [(1, f"so {item} on"), (1, other), (None, f"and {item}"), (None, other), (2, None)]
     left = corpus_pipeline.benchmark_free(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
     assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4]]))
+
+
+def test_hashing_holds_little_beyond_its_texts():
+    """Words of many texts are hashed a part at a time, so a worker needs little memory of its own."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from flowlens.llm import hashing
+    column = pa.array([b"some words of a text " * 500] * 800, pa.binary())
+    tracemalloc.start()
+    n = sum(len(words) for words in hashing.each_text(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 800 * 2500
+    assert peak < 48 << 20
