@@ -14,6 +14,9 @@ from flowlens.llm import hashing
 from flowlens.llm.common import components
 from flowlens.session import materialize, release
 
+#: Bitmaps of 32,768 bits each that `_perhaps` broadcasts at most: 4 MB in all.
+BITMAPS = 1024
+
 
 def _sketched(shingle: int, k: int):
     def run(batches):
@@ -155,6 +158,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataF
         .where(F.col("both") * 100 >= (F.size("fa") + F.size("fb") - F.col("both")) * percent).select("a", "b")
 
 
+def _perhaps(rows: DataFrame, marks: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys ``marks`` may hold: all that it does, and others as seldom as its keys are few against the bits.
+
+    Before a join by the same keys, so that rows without a partner are not
+    shuffled. The bitmaps are broadcast and of one size however many marks
+    there are; when they are full, every row passes.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(BITMAPS << 15))
+    bits = marks.select(F.shiftright(place, 15).alias("_map"), place.bitwiseAND(32767).alias("_bit")) \
+        .groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    found = rows.withColumn("_map", F.shiftright(place, 15)).withColumn("_bit", place.bitwiseAND(32767)).join(F.broadcast(bits), "_map")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, F.col("_bit").bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def part(text: Column) -> Column:
     """Tells the texts of a repeated id apart."""
     return F.xxhash64(text.cast("binary"))
@@ -194,17 +212,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed whole; work per text is linear but for sorting its set.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"), part(docs[text_col]).alias("part"))
-    rows = materialize(base.mapInArrow(_sketched(shingle, k), "doc_id long, part long, n long, key binary, sketch array<long>"))
-    usable = rows.where("doc_id is not null and n > 0")
-    classes = materialize(usable.groupBy("key").agg(F.min(F.struct("doc_id", "part")).alias("first"))
-                          .select("key", "first.*", F.monotonically_increasing_id().alias("id")))
-    sketches = materialize(usable.join(classes, ["key", "doc_id", "part"]).select("id", "n", "sketch").dropDuplicates(["id"]))
+    sketched = materialize(base.mapInArrow(_sketched(shingle, k), "doc_id long, part long, n long, key binary, sketch array<long>"))
+    # equal keys have equal sketches; sketches are shuffled once, and their tables go as soon as the lists are there
+    sketches = materialize(sketched.where("doc_id is not null and n > 0").groupBy("key")
+                           .agg(F.min(F.struct("doc_id", "part")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+                           .select("key", "first.*", F.monotonically_increasing_id().alias("id"), "n", "sketch"))
+    rows = materialize(sketched.select("doc_id", "part", "n", "key"))
+    release(sketched)
+    classes = materialize(sketches.select("key", "doc_id", "part", "id"))
     lists = materialize(_prefixes(sketches, percent, k))
     release(sketches)
-    # a written table: the planner knows its size, and texts are shuffled only where it is too large to broadcast
+    # a written table: the planner knows its size, and texts are shuffled only where it is too large to broadcast, without those that are no suspects
     suspects = materialize(lists.select("id").distinct().join(classes, "id").select("id", "doc_id", "part"))
-    sets = materialize(base.join(suspects, ["doc_id", "part"]).select("id", "text").dropDuplicates(["id"])
-                       .mapInArrow(_sets(shingle), "id long, all array<long>"))
+    sets = materialize(_perhaps(base, suspects, "doc_id", "part").join(suspects, ["doc_id", "part"]).dropDuplicates(["doc_id", "part", "id"])
+                       .select("id", "text").mapInArrow(_sets(shingle), "id long, all array<long>"))
     release(suspects)
 
     def with_components(found: DataFrame) -> DataFrame:

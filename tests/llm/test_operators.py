@@ -78,6 +78,39 @@ def test_near_duplicates(docs, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_leave_other_texts_where_they_are(spark, monkeypatch):
+    from flowlens.llm import near
+    passed, base = [], near._perhaps
+
+    def counted(rows, marks, *keys):
+        found = base(rows, marks, *keys)
+        passed.append((rows.count(), marks.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(near, "_perhaps", counted)
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"{texts[i]} more") for i in range(5)] + [(2000, None), (None, texts[7]), (399, texts[399])]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] != r["component_id"] and r["doc_id"] is not None) == [(1000 + i, i) for i in range(5)]
+    (every, marked, left), = passed
+    assert (every, marked) == (408, 10) and 10 <= left < 20   # without the bitmaps all 408 texts go to the join
+
+
+@pytest.mark.parametrize("bitmaps", [1, 1024])
+def test_perhaps_keeps_every_marked_row(spark, monkeypatch, bitmaps):
+    from pyspark.sql import functions as F
+    from flowlens.llm import near
+    monkeypatch.setattr(near, "BITMAPS", bitmaps)
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 1000).alias("part"))
+    marks = rows.where("id % 3 = 0")
+    found = near._perhaps(rows, marks, "id", "part")
+    assert found.columns == rows.columns
+    assert found.where("id % 3 = 0").distinct().count() == 20_000
+    others = found.where("id % 3 > 0").count()
+    assert others < 40_000 * (0.5 if bitmaps == 1 else 0.01)   # 20,000 marks in 32,768 bits, in 33 million
+    assert near._perhaps(rows, marks.limit(0), "id", "part").count() == 0
+
+
 def test_near_duplicates_of_repeated_ids(spark, folder):
     import corpus_pipeline
     from flowlens.llm.near import near_duplicates
