@@ -72,6 +72,15 @@ def test_learning_curve_judges_a_share_in_one_pass(spark, monkeypatch):
     assert all(r["train_accuracy"] > 0.9 and r["test_accuracy"] > 0.9 for r in curve)
 
 
+def test_learning_curve_after_an_observed_query(spark):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 10
+    curve = experiments.learning_curve(_numbers(spark), ["a", "b"], "y", "key", "logistic_regression", (1.0,), 2).collect()
+    assert [r["train_share"] for r in curve] == [1.0]
+
+
 def test_samples_hash_the_keys_once(spark, monkeypatch):
     calls, real = [], split.with_hash_order
 
