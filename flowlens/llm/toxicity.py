@@ -27,6 +27,8 @@ INVISIBLE = "­​‌‍⁠﻿"
 #: Phrases in which a lexicon word is no insult; learned ones are added.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "pond scum")
 PREFIXES = range(4, 8)
+#: (term, toxic) counts that a task holds at most, but for those of one text more.
+HELD = 50_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -119,32 +121,40 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _counted(known: frozenset[str] | None):
+def _summed(found_in):
+    """Map function: (term, toxic, n) over the terms that ``found_in`` gives of each text, handed on when `HELD` are held."""
+    def frame(counts):
+        return pd.DataFrame([(t, y, n) for (t, y), n in counts.items()], columns=["term", "toxic", "n"])
+
     def run(batches):
+        counts = Counter()
         for batch in batches:
-            counts = Counter()
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                found = _terms(text)
-                counts.update((t, toxic) for t in (found if known is None else found & known))
-            if counts:
-                yield pd.DataFrame([(t, y, n) for (t, y), n in counts.items()], columns=["term", "toxic", "n"])
+                counts.update((t, toxic) for t in found_in(text))
+                if len(counts) > HELD:
+                    yield frame(counts)
+                    counts.clear()
+        if counts:
+            yield frame(counts)
     return run
 
 
+def _counted(known: frozenset[str] | None):
+    return _summed(lambda text: _terms(text) if known is None else _terms(text) & known)
+
+
 def _phrases(weights: dict[str, float]):
     def run(batches):
         machine = _automaton(weights, ())
-        for batch in batches:
-            counts = Counter()
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                around = set()
-                for at in hits(machine, text):
-                    end = text.index(" ", at + 1)
-                    before, after = text.rfind(" ", 0, at), text.find(" ", end + 1)
-                    around |= ({text[before + 1:end]} if before >= 0 else set()) | ({text[at + 1:after]} if after > 0 else set())
-                counts.update((p, toxic) for p in around)
-            if counts:
-                yield pd.DataFrame([(p, y, n) for (p, y), n in counts.items()], columns=["term", "toxic", "n"])
+
+        def around(text):
+            found = set()
+            for at in hits(machine, text):
+                end = text.index(" ", at + 1)
+                before, after = text.rfind(" ", 0, at), text.find(" ", end + 1)
+                found |= ({text[before + 1:end]} if before >= 0 else set()) | ({text[at + 1:after]} if after > 0 else set())
+            return found
+        return _summed(around)(batches)
     return run
 
 

@@ -414,3 +414,34 @@ def test_hashing_holds_little_beyond_its_texts():
     tracemalloc.stop()
     assert n == 800 * 2500
     assert peak < 48 << 20
+
+
+def test_a_worker_gets_texts_in_batches_of_few_megabytes(spark):
+    """Two tasks of an executor hold a batch several times each, outside the heap; at 16 MB a batch the pipeline's executors grew past their limit."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from flowlens.session import prepare
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], names=["n", "bytes"])
+    texts = prepare(spark).range(3000).coalesce(1).select("id", F.repeat(F.lit("some words "), 400).cast("binary").alias("text"))
+    found = texts.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in found) == 3000
+    assert max(r["bytes"] for r in found) <= 3 << 20
+
+
+def test_toxicity_counts_are_summed_over_batches(monkeypatch):
+    """Smaller batches must not multiply the rows that a task hands on, nor let it hold every term."""
+    import pandas as pd
+
+    from flowlens.llm import toxicity
+    batches = [pd.DataFrame({"text": [" one two ", " one "], "toxic": [1, 0]}), pd.DataFrame({"text": [" one "], "toxic": [1]})]
+    whole = list(toxicity._counted(frozenset({" one ", " two "}))(batches))
+    assert len(whole) == 1
+    assert sorted(whole[0].itertuples(index=False, name=None)) == [(" one ", 0, 1), (" one ", 1, 2), (" two ", 1, 1)]
+    monkeypatch.setattr(toxicity, "HELD", 1)
+    assert len(parts := list(toxicity._counted(None)(batches))) > 1
+    assert pd.concat(parts).groupby(["term", "toxic"])["n"].sum().to_dict()[" one ", 1] == 2
+    assert list(toxicity._phrases({" one ": 5.0})(batches))[0]["n"].sum() == 1
